@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "jaccard_join",
+    "mixing",
     "decontamination",
     "quality_rules",
     "url_filters",
