@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "substring_dedup",
     "jaccard_join",
     "mixing",
     "decontamination",
