@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "toxicity",
+    "quality_classifier",
+    "language_id",
     "substring_dedup",
     "jaccard_join",
     "mixing",
