@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "lm_scoring",
     "toxicity",
     "quality_classifier",
     "language_id",
