@@ -432,7 +432,7 @@ def pdf_message_split(spark, d):
 
 @query("""
 SELECT 'codes/' || doc_id AS file, code, body AS text FROM documents,
-(VALUES ('ABEND_0C4', 'System code 0C4 (S0C4)' || chr(10) || 'Explanation: protection'), ('WAIT_0A1', 'System code 0A1 (S0A1)' || chr(10) || 'Explanation: wait'),
+(VALUES ('ABEND_0C4', 'System code 0C4 (S0C4)' || chr(10) || chr(10) || 'Explanation: protection'), ('WAIT_0A1', 'System code 0A1 (S0A1)' || chr(10) || 'Explanation: wait'),
         ('IPCS_1200', 'IPCS user completion code 1200' || chr(10) || 'Explanation: user')) AS v(code, body)""")
 def abend_code_split(spark, d):
     docs = table(spark, d, "documents")
