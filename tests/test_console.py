@@ -92,7 +92,7 @@ def test_message_ids_against_scanner(spark):
     texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.extract_msgid(F.col("t")).alias("m")).collect()
     assert [m for _, m in got] == [scan_msgid(t) for t, _ in got]
-    assert sum(m != "" for _, m in got) > 100
+    assert sum(m != "" for _, m in got) > 20
 
 
 def test_filters(spark):
