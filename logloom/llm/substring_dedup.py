@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .packing import pack, unpack
 from .tables import n_partitions, table
-from .wordhash import U64, mix
+from .wordhash import U64, mix, slices
 
 MIN_WORDS, MIN_UNIT_WORDS = 10, 4
 _CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
-_FLUSH = 400_000
+_FLUSH = 200_000
 
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
@@ -91,7 +91,7 @@ def _homes(doc, no, shards: int):
         yield int(s), pack(doc[cut[s] : cut[s + 1]], no[cut[s] : cut[s + 1]])
 
 
-def _digest_blocks(shards: int):
+def _digest_blocks(text_col: str, shards: int):
     """Rows (to_home, key, blob): a digest's earliest unit in the block goes to its range, settled repeats go home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,8 @@ def _digest_blocks(shards: int):
                 [pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["to_home", "key", "blob"]
             )
 
-        for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for part in (p for batch in batches for p in slices(batch, text_col)):
+            for id_, text in zip(part.column(0).to_pylist(), part.column(1)):
                 for k, (_, _, _, digest) in enumerate(units(text.as_py() or "")):
                     hi.append(digest >> 64)
                     lo.append(digest & 0xFFFFFFFFFFFFFFFF)
@@ -168,7 +168,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(__id, __repeated): of each document with any, the int32 numbers of its repeated units."""
     shards = n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id IS NOT NULL")
-    blocks = rows.mapInArrow(_digest_blocks(shards), "to_home boolean, key int, blob binary")
+    blocks = rows.mapInArrow(_digest_blocks(text_col, shards), "to_home boolean, key int, blob binary")
     sent = blocks.groupBy("to_home", "key").applyInArrow(_settle(shards), "home int, blob binary")
     return sent.groupBy("home").applyInArrow(_per_document, "__id long, __repeated binary")
 
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in slices(batch, text_col)):
             texts, gone = b.column(at).to_pylist(), []
             for i, repeated in enumerate(b.column(b.num_columns - 1)):
                 gone.append(_removed(texts[i], repeated.as_py(), how))
