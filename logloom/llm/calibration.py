@@ -31,7 +31,8 @@ class Logistic:
     """Ridge-regularised logistic regression on a few standardised features, by Newton's method."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2):
-        x = np.asarray(x, float).reshape(len(y), -1)
+        x = np.asarray(x, float)
+        x = x.reshape(len(y), x.size // len(y) if len(y) else x.shape[1] if x.ndim == 2 else 1)
         y = np.asarray(y, float)
         w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
         if not len(y):
