@@ -45,11 +45,13 @@ class HashEmbedder:
 
 
 def embed(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column; the embedder is unpickled once for each worker."""
+    """Unit vectors of a text column; the embedder is unpickled once for each worker."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(embedder.encode(s.fillna("").tolist())), index=s.index, dtype=object)
+            v = np.asarray(embedder.encode(s.fillna("").tolist()), np.float32)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series(list(np.divide(v, n, out=v.copy(), where=n > 0)), index=s.index, dtype=object)
 
     return run(text)

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,27 +50,31 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     for keys, q in _blocks(queries, query_id, query_vector, block_queries):
 
         def run(batches: Iterator[pa.RecordBatch], keys=keys, q=q) -> Iterator[pa.RecordBatch]:
-            best_d, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), object)
+            best: list[list[tuple[float, object]]] = [[] for _ in keys]
+            norms = (q * q).sum(1)
             for b in batches:
-                column = b.column(1)
-                ok = np.array(pa.compute.equal(pa.compute.list_value_length(column), q.shape[1]).fill_null(False))
-                ids = np.array(b.column(0).to_pylist(), object)[ok]
-                if not len(ids):
+                ok = pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), q.shape[1]), False)
+                ids = b.column(0).filter(ok).to_pylist()
+                if not ids:
                     continue
-                v = np.asarray(column.filter(pa.array(ok)).flatten(), np.float64).reshape(len(ids), -1)
-                d = np.empty((len(keys), len(ids)))
-                for i, x in enumerate(q):
-                    if metric == "l2":
-                        d[i] = np.sqrt(((v - x) ** 2).sum(1))
-                    else:
-                        n = np.sqrt((v * v).sum(1) * (x @ x))
-                        d[i] = 1 - np.divide(v @ x, n, out=np.zeros(len(ids)), where=n > 0)
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(ids, d.shape)])
-                order = np.array([np.lexsort((row_i.astype(np.int64) if row_i.dtype != object else np.argsort(np.argsort(row_i)), row_d))[:k] for row_d, row_i in zip(d, i)])
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            m = best_d.shape[1]
-            if m:
-                yield pa.RecordBatch.from_pydict({query_id: [x for x in keys for _ in range(m)], id_col: best_i.ravel().tolist(), "distance": best_d.ravel()})
+                v = np.asarray(b.column(1).filter(ok).flatten(), np.float64).reshape(len(ids), -1)
+                own = (v * v).sum(1)
+                product = q @ v.T
+                if metric == "l2":
+                    rough = norms[:, None] + own - 2 * product
+                else:
+                    n = np.sqrt(norms[:, None] * own)
+                    rough = 1 - np.divide(product, n, out=np.zeros_like(product), where=n > 0)
+                # The product screens; whatever may be among the k best is measured exactly.
+                kth = np.partition(rough, min(k, len(ids)) - 1, 1)[:, min(k, len(ids)) - 1]
+                slack = 1e-6 * (1 + norms + own.max()) if metric == "l2" else np.full(len(keys), 1e-6)
+                for i in range(len(keys)):
+                    at = np.flatnonzero(rough[i] <= kth[i] + slack[i])
+                    d = np.sqrt(((v[at] - q[i]) ** 2).sum(1)) if metric == "l2" else rough[i][at]
+                    best[i] = sorted([*best[i], *zip(d.tolist(), (ids[j] for j in at))])[:k]
+            flat = [(key, one, d) for key, found in zip(keys, best) for d, one in found]
+            if flat:
+                yield pa.RecordBatch.from_pydict({query_id: [x[0] for x in flat], id_col: [x[1] for x in flat], "distance": [x[2] for x in flat]})
 
         part = vectors.select(id_col, vector_col).mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

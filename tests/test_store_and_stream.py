@@ -153,3 +153,46 @@ def test_bare_and_cache(spark, tmp_path):
     render.save_cache(context, path, "k5", now=1000)
     assert render.load_cache(spark, path, 120, now=1100).count() == 1
     assert render.load_cache(spark, path, 120, now=1200).count() == 0
+
+
+def test_index_summarize_enrich(spark, tmp_path):
+    from logloom.plans import api
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.txt").write_text("storage " * 300)
+    (docs / "b.txt").write_text("network trouble")
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    assert api.index(spark, store, str(docs), "txt") == {"new": 2}
+    assert store.read().where("filename LIKE '%a.txt [chunk %'").count() == 2
+    assert api.index(spark, store, str(docs), "txt") == {"unchanged": 2}
+    (docs / "b.txt").unlink()
+    (docs / "c.txt").write_text("IEF450I explained")
+    assert api.index(spark, store, str(docs), "txt") == {"unchanged": 1, "new": 1, "removed": 1}
+    assert store.read().where("filename LIKE '%b.txt'").count() == 0
+
+    lines = ["N 4000000 SYS1 2026087 17:3{}:00.00 JOB00001 00000090  {}".format(i, t) for i, t in enumerate(["IEF450I FAILED", "IEC030A NO SPACE", "IEF285I SKIPPED", "IEF450I FAILED"])]
+    m = syslog.parse(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream string, line_no long, line string"))
+    api.ingest(m, store)
+    api.ingest(m, store)
+    assert [r["msg_count"] for r in store.read().where("source_type = 'operlog'").collect()] == [3]
+    s = {r["msgid"]: r for r in api.summarize(m, store.read()).collect()}
+    assert (s["IEC030A"]["tier"], s["IEC030A"]["history_count"], s["IEF450I"]["count"]) == ("critical", 1, 2)
+    text = render.summary_text(4, 3, api.summarize(m, store.read()))
+    assert "IEC030A x1 -- NO SPACE" in text and "seen 1 times across 1 days" in text and "INFO (1 unique IDs, 2 total)" in text
+    assert json.loads(render.summary_json(4, 3, api.summarize(m, store.read())))["groups"][0]["msgid"] == "IEC030A"
+    unique, context = api.enrich(m, store.read(), k=2)
+    rows = [json.loads(r["json"]) for r in render.enriched_json(unique, context).orderBy("seq").collect()]
+    assert [r["msgid"] for r in rows] == ["IEF450I", "IEC030A"] and rows[0]["count"] == 2
+    assert rows[0]["context"][0]["source_type"] == "operlog" and len(rows[0]["context"]) == 2
+
+    hits = api.search_once(spark, str(docs), "storage", k=1).collect()
+    assert "a.txt" in hits[0]["filename"]
+
+
+def test_convert_vectors(spark):
+    from logloom.plans import api
+
+    blobs = [(np.array([0.5, -0.5, 0.1, 0.7], ">f4").tobytes(),), (np.array([0.5, -0.5, 0.1, 0.7], "<f4").tobytes(),)]
+    got = api.convert_vectors(spark.createDataFrame([(bytearray(b[0]),) for b in blobs], "embedding binary")).collect()
+    assert [[round(x, 3) for x in r[0]] for r in got] == [[0.5, -0.5, 0.1, 0.7]] * 2
