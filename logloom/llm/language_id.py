@@ -8,8 +8,7 @@ profile lacks.  The nearest language wins; equal distances are won by the first
 The score is 1 / (1 + exp(-20 * margin)), margin being the runner-up's distance less the
 winner's over the largest possible distance.
 
-N-grams are counted word by word: a word's packed n-grams are computed once for each process
-and distinct word.  Profiles are learnt from a bounded sample, ``per_language`` documents of
+N-grams are packed integers, counted by sorting a text's own.  Profiles are learnt from a bounded sample, ``per_language`` documents of
 each language (500), found by hash order; only the counts reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
@@ -18,9 +17,8 @@ text where no language could be learnt; repeated rows are judged one by one.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,67 +27,42 @@ from pyspark.sql import functions as F
 
 from .tables import fold, table
 
-PROFILE, ORDERS, UNKNOWN = 400, (1, 2, 3), "und"
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def letter_words(text: str | None) -> Counter[str]:
-    """Lower-cased runs of letters and how often each occurs."""
-    found = Counter(_WORD.findall(text)) if text else Counter()
-    out: Counter[str] = Counter()
-    for w, n in found.items():
-        for part in (w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
-            out[part.lower()] += n
-    return out
-
-
-def grams_of(word: str) -> np.ndarray:
-    """The padded word's n-grams, packed 21 bits a code point."""
-    c = np.array([32, *map(ord, word), 32], np.int64)
-    packed = [c[1:-1]]
-    for n in ORDERS[1:]:
-        g = np.zeros(len(c) - n + 1, np.int64)
-        for k in range(n):
-            g = (g << 21) | c[k : k + len(g)]
-        packed.append(g)
-    return np.concatenate(packed)
-
-
-class GramCounter:
-    """Counts n-grams of texts, keeping the n-grams of words it has seen."""
-
-    def __init__(self, most_words: int = 100_000):
-        self.seen: dict[str, np.ndarray] = {}
-        self.most_words = most_words
-
-    def count(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct packed n-grams and their counts."""
-        seen, parts, repeat = self.seen, [], []
-        for w, n in words.items():
-            g = seen.get(w)
-            if g is None:
-                g = grams_of(w)
-                if len(w) < 40:
-                    if len(seen) >= self.most_words:
-                        seen.clear()
-                    seen[w] = g
-            parts.append(g)
-            repeat.append(n)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        every = np.concatenate(parts)
-        weight = np.repeat(repeat, [len(p) for p in parts])
-        grams, inverse = np.unique(every, return_inverse=True)
-        return grams, np.bincount(inverse, weight, len(grams)).astype(np.int64)
-
-
-def ranked(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+PROFILE, UNKNOWN = 400, "und"
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter; made once for each process."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed n-grams (21 bits a code point) of the lower-cased words, ascending, and their counts."""
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = _letters()[c]
+    # Words with one blank before, between and after: each blank pads the words on both its sides.
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    c = np.concatenate([[32], np.where(letter, c, 32)[keep], [32]])
+    if len(c) > 2 and c[-2] == 32:
+        c = c[:-1]
+    blank = c == 32
+    two = (c[:-1] << 21) | c[1:]
+    three = (two[:-1] << 21) | c[2:]
+    every = np.sort(np.concatenate([c[~blank], two[~(blank[:-1] & blank[1:])], three[~blank[1:-1]]]))
+    at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[at], np.diff(np.append(at, len(every)))
+
+
+def ranked(gram: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """The most frequent n-grams, most frequent first, ties by code."""
-    if len(grams) > most:
+    if len(gram) > most:
         least = np.partition(counts, len(counts) - most)[len(counts) - most]
         keep = counts >= least
-        grams, counts = grams[keep], counts[keep]
-    return grams[np.lexsort((grams, -counts))][:most]
+        gram, counts = gram[keep], counts[keep]
+    return gram[np.lexsort((gram, -counts))][:most]
 
 
 class Profiles:
@@ -133,13 +106,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("__lang", text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total = GramCounter(), {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                total.setdefault(lang, Counter()).update(letter_words(text.as_py()))
-        for lang, words in total.items():
-            grams, counts = counter.count(words)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams, "n": counts})
+                gram, n = grams(text.as_py())
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "gram": gram, "n": n})
 
     counts = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -153,9 +123,8 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """id, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = GramCounter()
         for b in batches:
-            said = [profiles.predict(ranked(*counter.count(letter_words(t.as_py())), profiles.size)) for t in b.column(1)]
+            said = [profiles.predict(ranked(*grams(t.as_py()), profiles.size)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
