@@ -32,7 +32,7 @@ from .packing import pack, unpack
 from .tables import n_partitions, table
 from .wordhash import U64, mix, slices
 
-MIN_WORDS, MIN_UNIT_WORDS = 10, 4
+MIN_WORDS, MIN_UNIT_WORDS = 25, 4
 _CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 _FLUSH = 200_000
 
@@ -59,12 +59,13 @@ def runs(found: list[tuple[int, int, int, int]], repeated: set[int], min_words:
         while j < len(found) and j in repeated:
             j += 1
         a, b = i, j
-        while a < b and found[a][2] < min_unit_words:
-            a += 1
-        while b > a and found[b - 1][2] < min_unit_words:
-            b -= 1
+        if any(u[2] >= min_unit_words for u in found[i:j]):
+            while found[a][2] < min_unit_words:
+                a += 1
+            while found[b - 1][2] < min_unit_words:
+                b -= 1
         words = sum(u[2] for u in found[a:b])
-        if a < b and words >= min_words:
+        if words >= min_words:
             out.append((found[a][0], found[b - 1][1], words))
         i = j
     return out
