@@ -155,7 +155,7 @@ def default_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_symbol_percent: int = 10,
-    max_dup_line_percent: int = 30,
+    max_dup_line_percent: int = 50,
     max_upper_percent: int = 50,
     min_letter_word_percent: int = 60,
     mean_word_chars: tuple[int, int] = (2, 20),
@@ -299,7 +299,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * up > 50 * le OR 100 * lw < 60 * n_words
+            OR 100 * n_dup_lines > 50 * n_lines OR 100 * up > 50 * le OR 100 * lw < 60 * n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM m"""
 }
