@@ -15,6 +15,7 @@ from ..functions import text as tx
 LINE = r"(?s)\A[NMXC][ 0-9a-fA-Z]?+[0-9a-fA-Z]*+ *+([^ ]*+) *+([0-9]*+) *+(..:..:.{5})?+ *+([^ ]*+) *+[0-9a-fA-F]*+ *+(.*)\z"
 CONTAINER = "data map<string,struct<content:string,content_length:long>>, system_logs int"
 MIN_LINE = 10
+PART = 1 << 20
 
 
 def lines_of(files: DataFrame, content: str = "value", stream: Column | None = None) -> DataFrame:
@@ -25,8 +26,16 @@ def lines_of(files: DataFrame, content: str = "value", stream: Column | None = N
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Log files as lines; each file is a stream."""
-    return lines_of(spark.read.text(path, wholetext=True).withColumn("stream", F.input_file_name()), stream=F.col("stream"))
+    """Log files as lines; each file is a stream, read in splits however large it is.
+
+    A line's number is its split's byte offset plus its place in the split.  As every line has
+    a byte at least, numbers rise through the file and never repeat.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")
+    )
+    place = F.row_number().over(Window.partitionBy("stream", "split").orderBy("row"))
+    return raw.select("stream", (F.col("split") + place - 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def json_lines(documents: DataFrame, content: str = "value") -> DataFrame:
@@ -48,13 +57,20 @@ def bare(messages: DataFrame, text: str = "value") -> DataFrame:
 def parse(lines: DataFrame, severity_optional: bool = False) -> DataFrame:
     """(stream, line_no, line) to messages: stream, seq, sysname, julian_date, ts, jobname, text, msgid, severity.
 
-    A continuation before any record, and any other line, is dropped.  One window per stream.
+    A continuation before any record, and any other line, is dropped.  Heads are found inside
+    parts of ``PART`` line numbers; only one row a part takes the last head to the next parts,
+    so a very long stream is not one task.
     """
     kind = F.substring("line", 1, 1)
     kept = lines.where(F.length("line") >= MIN_LINE).withColumn("head", kind.isin("N", "M", "X", "C"))
     kept = kept.where(F.col("head") | kind.isin("S", "D", "E"))
-    order = Window.partitionBy("stream").orderBy("line_no")
-    kept = kept.withColumn("no", F.sum(F.col("head").cast("int")).over(order)).where("no > 0")
+    kept = kept.withColumn("part", F.floor(F.col("line_no") / PART))
+    heads = F.when(F.col("head"), F.col("line_no"))
+    before = Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = kept.groupBy("stream", "part").agg(F.max(heads).alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(before)).drop("last")
+    inside = Window.partitionBy("stream", "part").orderBy("line_no")
+    kept = kept.withColumn("no", F.last(heads, ignorenulls=True).over(inside)).join(carried, ["stream", "part"])
+    kept = kept.withColumn("no", F.coalesce("no", "carried")).where("no IS NOT NULL")
     part = lambda n: F.regexp_extract("line", LINE, n)
     kept = kept.withColumn("body", F.when(F.col("head"), part(5)).otherwise(tx.trim(F.expr("substring(line, 2)"))))
     first = lambda n: F.max(F.when(F.col("head"), part(n)))

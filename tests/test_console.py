@@ -39,6 +39,27 @@ def test_syslog(spark):
     ]
 
 
+def test_large_files_in_splits_and_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(syslog, "PART", 700)
+    head = "N 4000000 SYS1 2026087 17:31:05.50 JOB00002 00000090  CSV003E MESSAGE {}"
+    lines = []
+    for i in range(300):
+        lines += [head.format(i), *(f"S          more {i} {k}" for k in range(i % 4))]
+    lines[50:50] = ["S          " + "x" * 300] * 9
+    (tmp_path / "big.log").write_text("\n".join(["S          before any head", *lines]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        split = syslog.read_lines(spark, str(tmp_path / "big.log"))
+        assert spark.read.text(str(tmp_path / "big.log")).rdd.getNumPartitions() > 3
+        got = [r["text"] for r in syslog.parse(split).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = syslog.lines_of(spark.read.text(str(tmp_path / "big.log"), wholetext=True))
+    monkeypatch.setattr(syslog, "PART", 1 << 20)
+    want = [r["text"] for r in syslog.parse(whole).orderBy("seq").collect()]
+    assert got == want and len(got) == 300 and got[3].endswith("more 3 0 more 3 1 more 3 2")
+
+
 def test_json_wrapper(spark):
     doc = spark.createDataFrame([('{"data":{"SYS1":{"content":"a\\nb \\"c\\"","content_length":5},"SYS2":{"content":"d","content_length":1}},"system_logs":2}',)], "value string")
     assert sorted(map(tuple, syslog.json_lines(doc).collect())) == [("SYS1", 0, "a"), ("SYS1", 1, 'b "c"'), ("SYS2", 0, "d")]
