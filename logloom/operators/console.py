@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import HIDDEN_TYPE, META, SAMPLE_CHARS
+from .filters import DEFAULT, SkipList, interesting
 from .fusion import RRF_K, fuse
 from .knn import knn_batch
 
@@ -21,6 +22,14 @@ def first_by_msgid(messages: DataFrame) -> DataFrame:
     return out.select("msgid", *[F.col(f"m.{c}").alias(c) for c in cols], "count")
 
 
+def run_counters(messages: DataFrame, skip: SkipList = DEFAULT) -> DataFrame:
+    """One row: messages parsed, skipped by the list, interesting, and their distinct ids."""
+    msgid = F.col("msgid")
+    kept = interesting(messages, skip).agg(F.count("*").alias("interesting"), F.count_distinct("msgid").alias("unique_ids"))
+    seen = messages.agg(F.count("*").alias("parsed"), F.coalesce(F.sum(skip.skips(msgid).cast("long")), F.lit(0)).alias("skipped"))
+    return seen.crossJoin(kept)  # one row by one row
+
+
 def groups(messages: DataFrame) -> DataFrame:
     """A row for each message id: count, first and last timestamp in order of arrival, jobs, systems, sample, severity, tier."""
     some = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))

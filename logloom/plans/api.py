@@ -91,7 +91,8 @@ def search_once(spark: SparkSession, directory: str, query: str, suffixes: str =
 
 
 def convert_vectors(chunks: DataFrame, blob: str = "embedding") -> DataFrame:
-    """Vectors of a binary float32 column read in whichever byte order makes them plausible; ARRAY<FLOAT> in its place."""
+    """Vectors of a binary float32 column as ARRAY<FLOAT>, each in the byte order that brings its norm nearer to 1."""
     native, foreign = vx.decode_vector(F.col(blob), "little"), vx.decode_vector(F.col(blob), "big")
     out = chunks.withColumns({"__n": native, "__f": foreign})
-    return out.withColumn(blob, F.when(vx.plausible(F.col("__n")), F.col("__n")).otherwise(F.col("__f"))).drop("__n", "__f")
+    off = lambda c: F.abs(vx.norm(F.col(c)) - 1)  # noqa: E731  not-a-number counts as the largest
+    return out.withColumn(blob, F.when(off("__n") <= off("__f"), F.col("__n")).otherwise(F.col("__f"))).drop("__n", "__f")

@@ -13,6 +13,7 @@ from ..operators import chunking, console, embed, etl, filters, fusion, incremen
 from ..operators.keyword import KeywordQuery
 from ..sinks import render
 from ..sources import syslog
+from .search import search
 from .views import MESSAGES_SQL, SKIPPED_SQL, chunks_sql, log_chunks, messages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +247,20 @@ def history_annotation(spark, d):
     return console.with_history(g, log_chunks(spark, d)).select("msgid", "count", "history_count", "history_days")
 
 
+@query(f"""
+WITH {MESSAGES_SQL}
+SELECT count(*) AS parsed, CAST(count_if({SKIPPED_SQL}) AS BIGINT) AS skipped, CAST(count_if({_INTERESTING}) AS BIGINT) AS interesting,
+       count(DISTINCT CASE WHEN {_INTERESTING} THEN msgid END) AS unique_ids FROM msg""")
+def run_counters(spark, d):
+    return console.run_counters(messages(spark, d))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT seq FROM msg WHERE julian_date || ' ' || ts >= {_DAY} || ' 12:00:00.00'")
+def since_filter(spark, d):
+    start = F.try_to_timestamp(F.lit(_a_day(spark, d) + "12"), F.lit("yyyyDDDHH"))
+    return syslog.since(messages(spark, d), start).select("seq")
+
+
 _CHUNK = "SELECT id, filename, msgid, severity, jobname, sysname, ts_start, ts_end, julian_date, msg_count, full_text FROM chunk"
 _CHUNK_COLS = ["id", "filename", "msgid", "severity", "jobname", "sysname", "ts_start", "ts_end", "julian_date", "msg_count", "full_text"]
 
@@ -326,6 +341,44 @@ def json_content_extract(spark, d):
     return lines.join(order, ["stream", "line_no"]).select("stream", "seq", "line")
 
 
+@query(f"""
+WITH {MESSAGES_SQL}
+SELECT seq, right(msgid, 1) AS severity, CASE WHEN right(msgid, 1) IN ('A', 'E') THEN 'critical' WHEN right(msgid, 1) = 'W' THEN 'warning' ELSE 'info' END AS tier,
+       CASE right(msgid, 1) WHEN 'A' THEN 7 WHEN 'E' THEN 6 WHEN 'W' THEN 5 WHEN 'I' THEN 1 ELSE 0 END AS rank, substr(text, length(msgid) + 2) AS excerpt,
+       CAST(substr(ts, 1, 2) AS INT) * 60 + CAST(substr(ts, 4, 2) AS INT) AS minute, regexp_matches(msgid, '^[A-Z$#@]{{2,8}}[0-9]{{1,5}}[A-Z]?$') AS is_id
+FROM msg""")
+def text_functions(spark, d):
+    msgid = F.col("msgid")
+    severity = tx.severity_of(msgid)
+    return messages(spark, d).select(
+        "seq", severity.alias("severity"), tx.tier(severity).alias("tier"), tx.severity_rank(severity).alias("rank"),
+        tx.excerpt(F.col("text"), msgid).alias("excerpt"), tx.minute_of_day(F.col("ts")).alias("minute"), tx.looks_like_msgid(msgid).alias("is_id"),
+    )
+
+
+@query(f"""
+WITH {chunks_sql()},
+a AS (SELECT id AS rowid, '' AS store_tag, julian_date, ts_start FROM chunk WHERE sysname = 'SYS1' AND {_MEMBER.format("ICH408W")} {_LATEST} 3),
+b AS (SELECT id AS rowid, 'ibm_doc' AS store_tag, julian_date, ts_start FROM chunk WHERE sysname = 'SYS2' AND {_MEMBER.format("ICH408W")} {_LATEST} 5)
+SELECT rowid, store_tag, CAST(row_number() OVER (ORDER BY store_tag, julian_date DESC, ts_start DESC, rowid) AS INT) AS rank
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY rank <= 5""")
+def search_two_stores_keyword(spark, d):
+    """A parsed keyword query over a small main store, filled up from the knowledge store."""
+    c = log_chunks(spark, d)
+    few = keyword.keyword_search(c.where("sysname = 'SYS1'"), KeywordQuery(msgid="ICH408W"), 3).select(F.col("rowid").alias("id"))
+    main = c.join(few, "id", "left_semi")
+    return search("MSG:ICH408W", main, c.where("sysname = 'SYS2'")).select("rowid", "store_tag", "rank")
+
+
+@query("SELECT vec_id, list_aggregate(CAST(embedding AS FLOAT[]), 'max') AS most FROM embeddings")
+def vector_bytes_roundtrip(spark, d):
+    """Vectors to big-endian blobs and back through byte-order detection."""
+    from .api import convert_vectors
+
+    v = table(spark, d, "embeddings").select("vec_id", vx.encode_vector(F.col("embedding"), "big").alias("embedding"))
+    return convert_vectors(v).select("vec_id", F.array_max("embedding").alias("most"))
+
+
 # ---- documents -------------------------------------------------------------------------------------
 
 _TOK = "len(regexp_split_to_array(regexp_replace(regexp_replace(text, '^[ \\t\\r\\n]+', ''), '[ \\t\\r\\n]+$', ''), '[ \\t\\n\\x0b\\f\\r]+'))"

@@ -83,3 +83,8 @@ def parse(lines: DataFrame, severity_optional: bool = False) -> DataFrame:
     return out.withColumn("msgid", msgid).select(
         "stream", "seq", "sysname", "julian_date", "ts", "jobname", "text", "msgid", tx.severity_of(F.col("msgid")).alias("severity")
     )
+
+
+def since(messages: DataFrame, start: Column) -> DataFrame:
+    """Messages at or after a timestamp; those without a valid time are dropped."""
+    return messages.where(tx.event_time(F.col("julian_date"), F.col("ts")) >= start)
