@@ -73,15 +73,16 @@ class EliasFano:
         return high if self.low is None else high | self.low[i].astype(np.int64)
 
 
-def quantise(x: np.ndarray, codes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (uint16) and their values: exact where x has few values, else means over bins of equal width."""
-    values, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
-    if len(values) <= codes:
-        return inverse.astype(np.uint16), values
-    bin_ = np.minimum((values - values[0]) / (values[-1] - values[0]) * codes, codes - 1).astype(np.int64)
-    _, bin_ = np.unique(bin_, return_inverse=True)
-    book = np.bincount(bin_, values * count) / np.bincount(bin_, count)
-    return bin_[inverse].astype(np.uint16), book
+SCALE = 4096
+
+
+def quantise(x: np.ndarray) -> np.ndarray:
+    """Codes of logarithms of probabilities (at most 0, at least -250), on a square-root scale: finest near 0."""
+    return np.rint(np.sqrt(-np.minimum(x, 0.0)) * SCALE).astype(np.uint16)
+
+
+def restore(code: np.ndarray) -> np.ndarray:
+    return -((code.astype(np.float64) / SCALE) ** 2)
 
 
 class Level:
@@ -94,9 +95,7 @@ class Level:
     def __init__(self, counts: np.ndarray, child: np.ndarray, n_words: int, **values: np.ndarray):
         self.pointers = EliasFano(np.concatenate([[0], np.cumsum(counts)]))
         self.child = Packed(child, max(1, int(n_words - 1).bit_length() if n_words else 1))
-        self.codes, self.books = {}, {}
-        for name, x in values.items():
-            self.codes[name], self.books[name] = quantise(x)
+        self.codes = {name: quantise(x) for name, x in values.items()}
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Position of each (parent, child), -1 where either is absent (parent -1: absent)."""

@@ -7,6 +7,7 @@ and never gathered in one place.
    one row a block, written once to the shared folder.
 2. *Requests.*  For each shard (a range of word hashes) a block sends its distinct words,
    bigrams and trigrams whose first word lies there, as a small trie with training counts.
+   Words that a sample finds frequent (at most 65,536) go by number instead of by hash.
 3. *Tries.*  A shard adds up the blocks' tries and builds its part of the model: levels with
    Elias-Fano pointers, bit-packed children and quantised probabilities, memory-mapped.  It
    then finds every requested n-gram by successor search inside its context's run, and
@@ -36,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .elias_fano import Level, Mapped
+from .elias_fano import Level, Mapped, quantise, restore
 from .packing import pack, unpack
 from .tables import fold, n_partitions, table, written
 from .wordhash import U64, slices, text_bytes, word_hashes, word_spans
 
 END = 0xE0D0F7EC7A11D0CE
 MU = 4.0
-_BLOCK_BYTES = 12 << 20
+_BLOCK_BYTES = 6 << 20
 
 
 def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +62,14 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = n = 0
 
     def flush() -> pa.RecordBatch:
-        words, token = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        words, token, count = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+        # Stored by falling frequency, so that most numbers are short.
+        rank = np.argsort(-count, kind="stable")
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        token = place[token]
         lengths, ids, null, train = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
-        return pa.RecordBatch.from_pydict({"block": [f"{TaskContext.get().partitionId()}-{n}"], "blob": [pack(words, token, lengths, ids, null, train)]})
+        return pa.RecordBatch.from_pydict({"block": [f"{TaskContext.get().partitionId()}-{n}"], "blob": [pack(words, rank, token, lengths, ids, null, train)]})
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -79,31 +85,49 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _distinct(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, for keys of so many bits; sorts key and place as one number where they fit."""
+    n = len(key)
+    low = max(1, n.bit_length())
+    if bits + low <= 63:
+        both = np.sort(key << low | np.arange(n))
+        order, key = both & ((1 << low) - 1), both >> low
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], inverse
+
+
 class _Block:
     """A block's words and its distinct bigrams and trigrams, in order of their words' hashes."""
 
     def __init__(self, blob: bytes):
-        self.words, token, lengths, ids, null, train = unpack(blob)
-        token = self.token = token.view(np.int64)
+        self.words, self.rank, token, lengths, ids, null, train = unpack(blob)
+        token = self.token = self.rank.astype(np.int32)[token.view(np.int64)]
         self.lengths, self.ids, self.null, self.train = (x.view(np.int64) for x in (lengths, ids, null, train))
+        bits = max(1, len(self.words).bit_length())
         end = np.cumsum(self.lengths)
         self.first = end - self.lengths
-        left = np.repeat(end, self.lengths) - np.arange(len(token))  # tokens to the text's end, this one included
-        counted = np.repeat(self.train, self.lengths)
-        self.c1 = np.bincount(token, counted, len(self.words)).astype(np.int64)
-        self.at2 = np.flatnonzero(left > 1)
-        key, self.of2, self.c2 = self._distinct(token[self.at2], token[self.at2 + 1], counted[self.at2])
-        self.w2a, self.w2b = key >> 32, key & 0xFFFFFFFF
-        self.at3 = np.flatnonzero(left > 2)
-        node = np.zeros(len(token), np.int64)
+        counted = np.repeat(self.train.astype(bool), self.lengths)
+        self.c1 = np.bincount(token[counted], minlength=len(self.words))
+        inner = np.ones(len(token), bool)
+        inner[end - 1] = False  # a text's last token has no successor
+        self.at2 = np.flatnonzero(inner).astype(np.int32)
+        inner[(end - 2)[self.lengths > 1]] = False
+        self.at3 = np.flatnonzero(inner).astype(np.int32)
+        del inner
+        key, self.of2 = _distinct(token[self.at2].astype(np.int64) << bits | token[self.at2 + 1], 2 * bits)
+        self.c2 = np.bincount(self.of2[counted[self.at2]], minlength=len(key))
+        self.w2a, self.w2b = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
+        node = np.zeros(len(token), np.int32)
         node[self.at2] = self.of2
-        key, self.of3, self.c3 = self._distinct(node[self.at3], token[self.at3 + 2], counted[self.at3])
-        self.n3, self.w3c = key >> 32, key & 0xFFFFFFFF
-
-    @staticmethod
-    def _distinct(a: np.ndarray, b: np.ndarray, counted: np.ndarray):
-        key, inverse = np.unique(a << 32 | b, return_inverse=True)
-        return key, inverse, np.bincount(inverse, counted, len(key)).astype(np.int64)
+        key, self.of3 = _distinct(node[self.at3].astype(np.int64) << bits | token[self.at3 + 2], len(key).bit_length() + bits)
+        self.c3 = np.bincount(self.of3[counted[self.at3]], minlength=len(key))
+        self.n3, self.w3c = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
 
     def cuts(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each shard's words, bigrams and trigrams start; all three are in shard order."""
@@ -113,124 +137,169 @@ class _Block:
         return one, two, np.searchsorted(self.n3, two)
 
 
-def _requests(shards: int):
+def _frequent(layout: DataFrame, blocks: int = 16, most: int = 1 << 16) -> np.ndarray:
+    """Hashes of words that are frequent in about so many blocks, ascending: short names for requests, of no effect on results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                words, rank, token, *_ = unpack(blob.as_py())
+                n = np.bincount(token.view(np.int64), minlength=len(words))[:most]
+                yield pa.RecordBatch.from_arrays([pa.array([pack(words[rank.view(np.int64)[: len(n)]], n)], pa.binary())], names=["blob"])
+
+    part = F.pmod(F.xxhash64("block"), F.lit(max(1, layout.count() // blocks)))
+    parts = [unpack(r[0]) for r in layout.where(part == 0).select("blob").mapInArrow(run, "blob binary").collect()]
+    if not parts:
+        return np.zeros(0, U64)
+    words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]).view(np.int64))
+    return np.sort(words[np.argsort(-n, kind="stable")[:most]])
+
+
+def _requests(shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 b = _Block(blob.as_py())
                 one, two, three = b.cuts(shards)
+                short = np.searchsorted(frequent, b.words)
+                known = np.zeros(len(b.words), bool)
+                inside = short < len(frequent)
+                known[inside] = frequent[short[inside]] == b.words[inside]
                 blobs = []
                 for s in range(shards):
                     u, v, w = slice(one[s], one[s + 1]), slice(two[s], two[s + 1]), slice(three[s], three[s + 1])
-                    children = np.unique(np.concatenate([b.w2b[v], b.w3c[w]]))
+                    used = np.zeros(len(b.words), bool)
+                    used[b.w2b[v]] = True
+                    used[b.w3c[w]] = True
+                    child = np.flatnonzero(used)
+                    child = np.concatenate([child[known[child]], child[~known[child]]])  # named by number, then by hash
+                    place = np.empty(len(b.words), np.int32)
+                    place[child] = np.arange(len(child), dtype=np.int32)
+                    few = int(known[child].sum())
                     fan2 = np.bincount(b.w2a[v] - one[s], minlength=one[s + 1] - one[s])
                     fan3 = np.bincount(b.n3[w] - two[s], minlength=two[s + 1] - two[s])
-                    blobs.append(pack(b.words[u], b.c1[u], fan2, np.searchsorted(children, b.w2b[v]), b.c2[v], fan3, np.searchsorted(children, b.w3c[w]), b.c3[w], b.words[children]))
+                    blobs.append(pack(b.words[u], b.c1[u], fan2, place[b.w2b[v]], b.c2[v], fan3, place[b.w3c[w]], b.c3[w], short[child[:few]], b.words[child[few:]]))
                 yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([block] * shards), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
 
     return run
 
 
+class _Request:
+    """A block's request; its words become places in the shard's list of words."""
+
+    def __init__(self, blob: bytes, frequent: np.ndarray):
+        small = lambda x: x.view(np.int64).astype(np.int32)
+        own, c1, fan2, second, c2, fan3, third, c3, named, others = unpack(blob)
+        self.own, self.children = own, np.concatenate([frequent[named.view(np.int64)], others])
+        self.c1, self.fan2, self.second, self.c2, self.fan3, self.third, self.c3 = map(small, (c1, fan2, second, c2, fan3, third, c3))
+
+    def place(self, words: np.ndarray) -> None:
+        self.first, child = (np.searchsorted(words, x).astype(np.int32) for x in (self.own, self.children))
+        self.second, self.third = child[self.second], child[self.third]
+        self.own = self.children = None
+
+    def key2(self) -> np.ndarray:
+        return np.repeat(self.first, self.fan2).astype(np.int64) << 32 | self.second
+
+
+def _expected(back: np.ndarray, mu: float) -> np.ndarray:
+    """Code + 1 of the probability of a single occurrence after a context, from the code + 1 of its back-off."""
+    return quantise(restore(np.maximum(back, 1) - 1) - np.log10(mu)).astype(np.int64) + 1
+
+
+def _relative(code: np.ndarray, back: np.ndarray, mu: float) -> np.ndarray:
+    """Codes as small numbers: their distance from what the context leads to expect, 0 for absent."""
+    d = code - _expected(back, mu)
+    return np.where(code > 0, (d << 1 ^ d >> 63) + 1, 0)
+
+
+def _absolute(sent: np.ndarray, back: np.ndarray, mu: float) -> np.ndarray:
+    d = sent - 1
+    return np.where(sent > 0, (d >> 1 ^ -(d & 1)) + _expected(back, mu), 0)
+
+
 class Trie:
     """A shard of the model: words, bigrams and trigrams that start with one of its words."""
 
-    def __init__(self, words: np.ndarray, c1: np.ndarray, key2: np.ndarray, c2: np.ndarray, key3: np.ndarray, c3: np.ndarray, mu: float, mapped: Mapped):
-        """words: all word hashes, ascending; keys: (parent position, word number) packed, ascending."""
-        n = len(words)
-        self.words, self.c1 = mapped.array(words), mapped.array(c1)
-        fan2 = np.bincount((key2 >> 32).astype(np.int64), minlength=n)
-        fan3 = np.bincount((key3 >> 32).astype(np.int64), minlength=len(key2))
-        ctx1 = np.bincount((key2 >> 32).astype(np.int64), c2, n)
-        ctx2 = np.bincount((key3 >> 32).astype(np.int64), c3, len(key2))
-        a2 = np.log10(c2 / (np.repeat(ctx1, fan2) + mu))
-        a3 = np.log10(c3 / (np.repeat(ctx2, fan3) + mu))
+    def __init__(self, n: int, key2: np.ndarray, c2: np.ndarray, key3: np.ndarray, c3: np.ndarray, mu: float, mapped: Mapped):
+        """n words; key2: (word, successor), key3: (place in key2, successor), both packed and ascending."""
         low = 0xFFFFFFFF
-        one = Level(np.ones(n, np.int64), np.arange(n), n, back=np.log10(mu / (ctx1 + mu)))
-        self.one = mapped.level(one)
-        self.two = mapped.level(Level(fan2, key2 & low, n, prob=a2, back=np.log10(mu / (ctx2 + mu))))
-        self.three = mapped.level(Level(fan3, key3 & low, n, prob=a3))
+        first, node = key2 >> 32, key3 >> 32
+        ctx1, ctx2 = np.bincount(first, c2, n), np.bincount(node, c3, len(key2))
+        self.mu = mu
+        self.back1 = mapped.array(quantise(np.log10(mu / (ctx1 + mu))))
+        self.two = mapped.level(Level(np.bincount(first, minlength=n), key2 & low, n, prob=np.log10(c2 / (ctx1[first] + mu)), back=np.log10(mu / (ctx2 + mu))))
+        self.three = mapped.level(Level(np.bincount(node, minlength=len(key2)), key3 & low, n, prob=np.log10(c3 / (ctx2[node] + mu))))
 
-    def look_up(self, first, fan2, second, fan3, third):
-        """Codes + 1 (0: absent) of a request trie: back of words, prob and back of bigrams, prob of trigrams."""
-        two = self.two.find(np.repeat(first, fan2), second)
-        three = self.three.find(np.repeat(two, fan3), third)
+    def look_up(self, r: _Request) -> list[np.ndarray]:
+        """Back of words, prob and back of bigrams, prob of trigrams: codes + 1 (0: absent), probs relative to their context's back."""
+        two = self.two.find(np.repeat(r.first, r.fan2), r.second)
+        three = self.three.find(np.repeat(two, r.fan3), r.third)
 
-        def codes(level: Level, name: str, at: np.ndarray) -> np.ndarray:
-            return np.where(at >= 0, level.codes[name][np.maximum(at, 0)].astype(np.int64) + 1, 0) if len(level.codes[name]) else np.zeros(len(at), np.int64)
+        def codes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.where(at >= 0, values[np.maximum(at, 0)].astype(np.int64) + 1, 0) if len(values) else np.zeros(len(at), np.int64)
 
-        return codes(self.one, "back", first), codes(self.two, "prob", two), codes(self.two, "back", two), codes(self.three, "prob", three)
+        back1, back2 = codes(self.back1, r.first), codes(self.two.codes["back"], two)
+        prob2 = _relative(codes(self.two.codes["prob"], two), np.repeat(back1, r.fan2), self.mu)
+        prob3 = _relative(codes(self.three.codes["prob"], three), np.repeat(back2, r.fan3), self.mu)
+        return [back1, prob2, back2, prob3]
 
 
 def _sum_by(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, count = key[count > 0], count[count > 0]
-    key, inverse = np.unique(key, return_inverse=True)
-    return key, np.bincount(inverse, count, len(key)).astype(np.int64)
+    """Distinct keys with their summed counts; what is expanded is a shard's share of the training tokens."""
+    key = np.sort(np.repeat(key, count))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.diff(np.append(at, len(key)))
 
 
-def _answer(mu: float):
+def _answer(mu: float, frequent: np.ndarray):
     """All blocks' requests to a shard: build its trie, look every request up in it."""
 
     def run(group: pa.Table) -> pa.Table:
-        names = group.column("block").to_pylist()
-        blobs = [b.as_py() for b in group.column("blob")]
-        parts = [unpack(b) for b in blobs]
-        words = np.unique(np.concatenate([np.concatenate([p[0], p[8]]) for p in parts]))
-        firsts, seconds, thirds, key2s = [], [], [], []
-        signed = lambda x: x.view(np.int64)
+        requests = [_Request(b.as_py(), frequent) for b in group.column("blob")]
+        words = np.unique(np.concatenate([x for r in requests for x in (r.own, r.children)]))
         c1 = np.zeros(len(words), np.int64)
-        for p in parts:
-            first, child = np.searchsorted(words, p[0]), np.searchsorted(words, p[8])
-            c1[first] += signed(p[1])
-            firsts.append(first)
-            seconds.append(child[signed(p[3])])
-            thirds.append(child[signed(p[6])])
-            key2s.append(np.repeat(first, signed(p[2])) << 32 | seconds[-1])
-        key2, c2 = _sum_by(np.concatenate(key2s), np.concatenate([signed(p[4]) for p in parts]))
-        key3s, c3s = [], []
-        for p, k2, third in zip(parts, key2s, thirds):
-            counted = signed(p[7]) > 0
-            node = np.repeat(k2, signed(p[5]))[counted]
-            key3s.append(np.searchsorted(key2, node) << 32 | third[counted])
-            c3s.append(signed(p[7])[counted])
-        key3, c3 = _sum_by(np.concatenate(key3s), np.concatenate(c3s))
-        del key3s, c3s, key2s
-        out = []
+        for r in requests:
+            r.place(words)
+            c1[r.first] += r.c1
+        key2, c2 = _sum_by(np.concatenate([r.key2() for r in requests]), np.concatenate([r.c2 for r in requests]))
+        key3 = [np.repeat(np.searchsorted(key2, r.key2()), r.fan3) << 32 | r.third for r in requests]
+        key3, c3 = _sum_by(np.concatenate(key3), np.concatenate([r.c3 for r in requests]))
+        totals = np.array([(c1 > 0).sum(), c1.sum()])
         with Mapped() as mapped:
-            trie = Trie(words, c1, key2, c2, key3, c3, mu, mapped)
-            books = np.concatenate([trie.one.books["back"], trie.two.books["prob"], trie.two.books["back"], trie.three.books["prob"]])
-            sizes = np.array([len(trie.one.books["back"]), len(trie.two.books["prob"]), len(trie.two.books["back"]), len(trie.three.books["prob"])])
-            totals = np.array([(c1 > 0).sum(), c1.sum()])
-            for p, first, second, third in zip(parts, firsts, seconds, thirds):
-                out.append(pack(totals, c1[first], *trie.look_up(first, signed(p[2]), second, signed(p[5]), third), sizes, books.view(U64)))
+            trie = Trie(len(words), key2, c2, key3, c3, mu, mapped)
+            del key2, c2, key3, c3
+            answers = [pack(totals, c1[r.first], *trie.look_up(r)) for r in requests]
             del trie
-        return pa.table({"shard": group.column("shard"), "block": pa.array(names), "answer": pa.array(out, pa.binary())})
+        return pa.table({"shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(answers, pa.binary())})
+
+    return run
+
+
+def _score(mu: float):
+    def run(key: tuple, layout: pa.Table, answers: pa.Table) -> pa.Table:
+        return _score_block(layout, answers, mu)
 
     return run
 
 
-def _score(key: tuple, layout: pa.Table, answers: pa.Table) -> pa.Table:
+def _score_block(layout: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
     order = np.argsort(answers.column("shard").to_numpy())
-    parts = [unpack(answers.column("answer")[int(i)].as_py()) for i in order]
+    parts = [[c.view(np.int64) for c in unpack(answers.column("answer")[int(i)].as_py())] for i in order]
     b = _Block(layout.column("blob")[0].as_py())
-    signed = [[c.view(np.int64) for c in p[:7]] for p in parts]
-    types, tokens = (int(sum(p[0][k] for p in signed)) for k in (0, 1))
-    c1 = np.concatenate([p[1] for p in signed])
-    values: list[list[np.ndarray]] = [[], [], [], []]
-    for p, s in zip(parts, signed):
-        book = p[7].view(np.float64)
-        at = np.cumsum(s[6]) - s[6]
-        for k in range(4):
-            absent = 0.0 if k in (0, 2) else -np.inf
-            values[k].append(np.concatenate([[absent], book[at[k] : at[k] + s[6][k]]])[s[2 + k]])
-    back1, prob2, back2, prob3 = (10.0 ** np.concatenate(v) for v in values)
-
-    z = tokens + types + 1
-    p = (c1 + 1)[b.token] / z
+    types, tokens = (int(sum(p[0][k] for p in parts)) for k in (0, 1))
+    c1, back1, prob2, back2, prob3 = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    del parts
+    value = lambda code, absent: np.where(code > 0, 10.0 ** restore(code - 1), absent)
+    prob2 = value(_absolute(prob2, back1[b.w2a], mu), 0.0)
+    prob3 = value(_absolute(prob3, back2[b.n3], mu), 0.0)
+    back1, back2 = value(back1, 1.0), value(back2, 1.0)
+
+    p = ((c1 + 1) / (tokens + types + 1))[b.token]
     base = np.log10(p)
-    two = prob2[b.of2] + back1[b.w2a][b.of2] * p[b.at2 + 1]
-    p[b.at2 + 1] = two
-    three = prob3[b.of3] + back2[b.n3][b.of3] * p[b.at3 + 2]
-    p[b.at3 + 2] = three
+    p[b.at2 + 1] = prob2[b.of2] + back1[b.w2a][b.of2] * p[b.at2 + 1]
+    p[b.at3 + 2] = prob3[b.of3] + back2[b.n3][b.of3] * p[b.at3 + 2]
     add = lambda x: np.add.reduceat(x, b.first) if len(b.first) else x[:0]
     return pa.table(
         {
@@ -250,13 +319,14 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     doc_id, n_tokens, n_known, train_tokens (long), base_score (unigrams), score (trigrams), train.
     """
-    shards = shards or n_partitions(docs.sparkSession)
+    shards = shards or 2 * n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     layout = written(rows.mapInArrow(_layout, "block string, blob binary"), "layout")
-    asked = layout.mapInArrow(_requests(shards), "shard int, block string, blob binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer(mu), "shard int, block string, answer binary")
+    frequent = _frequent(layout)
+    asked = layout.mapInArrow(_requests(shards, frequent), "shard int, block string, blob binary")
+    answers = written(asked.groupBy("shard").applyInArrow(_answer(mu, frequent), "shard int, block string, answer binary"), "answers")
     kind = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, train boolean"
-    return layout.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, kind)
+    return layout.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(mu), kind)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
