@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import Level, Mapped, quantise, restore
-from .packing import pack, unpack
+from .packing import pack, ranked, unpack
 from .tables import fold, n_partitions, table, written
-from .wordhash import U64, slices, text_bytes, word_hashes, word_spans
+from .wordhash import PIECE, U64, slices, text_bytes, word_hashes, word_spans
 
 END = 0xE0D0F7EC7A11D0CE
 MU = 4.0
-_BLOCK_BYTES = 6 << 20
+_BLOCK_BYTES = 4 << 20
 
 
 def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"block": [f"{TaskContext.get().partitionId()}-{n}"], "blob": [pack(words, rank, token, lengths, ids, null, train)]})
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PIECE):
             raw, offsets = text_bytes(part.column(1), lower=True)
             ids = part.column(0)
             held.append((*_tokens(raw, offsets), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -270,7 +270,7 @@ def _answer(mu: float, frequent: np.ndarray):
         with Mapped() as mapped:
             trie = Trie(len(words), key2, c2, key3, c3, mu, mapped)
             del key2, c2, key3, c3
-            answers = [pack(totals, c1[r.first], *trie.look_up(r)) for r in requests]
+            answers = [pack(totals, c1[r.first], *(x for codes in trie.look_up(r) for x in ranked(codes))) for r in requests]
             del trie
         return pa.table({"shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(answers, pa.binary())})
 
@@ -289,7 +289,8 @@ def _score_block(layout: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
     parts = [[c.view(np.int64) for c in unpack(answers.column("answer")[int(i)].as_py())] for i in order]
     b = _Block(layout.column("blob")[0].as_py())
     types, tokens = (int(sum(p[0][k] for p in parts)) for k in (0, 1))
-    c1, back1, prob2, back2, prob3 = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    c1 = np.concatenate([p[1] for p in parts])
+    back1, prob2, back2, prob3 = (np.concatenate([p[k][p[k + 1]] for p in parts]) for k in (2, 4, 6, 8))
     del parts
     value = lambda code, absent: np.where(code > 0, 10.0 ** restore(code - 1), absent)
     prob2 = value(_absolute(prob2, back1[b.w2a], mu), 0.0)

@@ -46,3 +46,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         column = full.reshape(-1).view(np.uint64)
         out.append(np.cumsum(column, dtype=np.uint64) if rising else column)
     return out
+
+
+def ranked(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of few distinct numbers as (table, places), the most frequent number at place 0."""
+    values, inverse, count = np.unique(column, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[inverse]

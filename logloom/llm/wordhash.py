@@ -63,7 +63,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple
     if not len(offsets):
         return b"", np.zeros(1, np.int64)
     raw = column.buffers()[2]
-    raw = raw.to_pybytes()[offsets[0] : offsets[-1]] if raw is not None else b""
+    raw = raw.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if raw is not None else b""
     return (raw.translate(LOWER) if lower else raw), offsets - offsets[0]
 
 

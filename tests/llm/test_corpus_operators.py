@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logloom.llm import jaccard_join, lm_scoring, mixing, substring_dedup
 from logloom.llm.components import components
 from logloom.llm.elias_fano import EliasFano, Level, Packed, quantise, restore
-from logloom.llm.packing import pack, unpack
+from logloom.llm.packing import pack, ranked, unpack
 from logloom.llm.wordhash import ngram_hashes, word_hashes, word_spans
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -36,6 +36,13 @@ def test_packing():
     assert [b.tolist() for b in back] == [c.astype(np.int64).view(np.uint64).tolist() if c.dtype != np.uint64 else c.tolist() for c in columns]
 
 
+def test_ranked():
+    column = np.array([5, 5, -3, 5, 900, -3])
+    table, place = ranked(column)
+    assert table[place].tolist() == column.tolist() and table[:2].tolist() == [5, -3]
+    assert [x.tolist() for x in ranked(column[:0])] == [[], []]
+
+
 def test_word_hashes():
     texts = ["a bc a", "", "bc", " x\ty ", "é a"]
     raw = b"".join(t.encode() for t in texts)
