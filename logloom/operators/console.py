@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schema import HIDDEN_TYPE, META, SAMPLE_CHARS
 from .filters import DEFAULT, SkipList, interesting
-from .fusion import RRF_K, fuse
+from .fusion import RRF_K
 from .knn import knn_batch
 
 HISTORY_LIMIT = 200
@@ -105,14 +105,21 @@ def enrich(unique: DataFrame, stores: list[tuple[str, DataFrame]], k: int = 5, s
         a, b = keyword_candidates(unique, chunks, k, n, kind), semantic_candidates(unique, chunks, k, n, kind)
         kw, sem = (a, b) if kw is None else (kw.unionByName(a), sem.unionByName(b))
     order = Window.partitionBy("msgid").orderBy("store", "place")
-    kw, sem = (x.withColumn("rank", F.row_number().over(order)) for x in (kw, sem))
-    fused = fuse([kw, sem], ["store", "rowid"], k=None, rrf_k=rrf_k, by=["msgid"])
-    every = kw.withColumn("kw", F.lit(1)).unionByName(sem.withColumn("kw", F.lit(0)))
-    both = every.groupBy("msgid").agg((F.count_distinct("kw") == 2).alias("both"))
-    distance = every.groupBy("msgid", "store", "rowid").agg(F.max("distance").alias("distance"))
-    out = fused.join(both, "msgid").where(~F.col("both") | (F.col("rank") <= k)).join(distance, ["msgid", "store", "rowid"])
+    every = None
+    for n, one in enumerate((kw, sem)):
+        one = one.select("msgid", "store", "rowid", "distance", F.lit(n).alias("list"), F.row_number().over(order).alias("at"))
+        every = one if every is None else every.unionByName(one)
+    # One aggregation fuses the lists and tells, for each message, which of them have hits.
+    fused = every.groupBy("msgid", "store", "rowid").agg(
+        F.sum(1.0 / (rrf_k + F.col("at"))).alias("score"), F.min(F.struct("list", "at")).alias("first"), F.max("distance").alias("distance"),
+        F.min("list").alias("lo"), F.max("list").alias("hi"),
+    )
+    mine = Window.partitionBy("msgid")
+    place = F.row_number().over(mine.orderBy(F.round("score", 12).desc(), "first", "store", "rowid"))
+    fused = fused.withColumns({"rank": place, "both": (F.min("lo").over(mine) == 0) & (F.max("hi").over(mine) == 1)})
+    out = fused.where(~F.col("both") | (F.col("rank") <= k)).drop("both", "first", "lo", "hi")
     meta = None
     for n, (tag, chunks) in enumerate(stores):
         m = chunks.select(F.lit(n).alias("store"), F.col("id").alias("rowid"), F.lit(tag).alias("store_tag"), *[F.col(c).alias("chunk_msgid" if c == "msgid" else c) for c in META])
         meta = m if meta is None else meta.unionByName(m)
-    return out.join(meta, ["store", "rowid"]).drop("both", "store")
+    return out.join(meta, ["store", "rowid"]).drop("store")
