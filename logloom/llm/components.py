@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
         least = written(least, "least")
+        old = labels, edges, least
         if labels is None:
             labels = least.toDF("node", "component")
         else:
@@ -30,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         a = edges.join(least, edges.a == least.u).select(F.col("to").alias("a"), "b")
         ab = a.join(least, a.b == least.u).select("a", F.col("to").alias("b"))
         edges = written(ab.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(*old)
     if labels is None:
         return edges.toDF("node", "component")
     return labels

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import pack, unpack
-from .tables import n_partitions, table, written
+from .tables import discard, n_partitions, table, written
 from .wordhash import U64, mix, ngram_hashes, slices, text_bytes, word_hashes, word_spans
 
 BITS = 56
@@ -313,6 +313,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # The classes so far stand for themselves as edges to their smallest member.
     every = first.toDF("a", "b").union(more).union(member.toDF("a", "b"))
     final = components(every)
+    discard(index, answers, member, first)
     size = sets.select("doc_id", "n")
     out = rows.select("doc_id").join(size, "doc_id", "left").join(final, F.col("doc_id") == F.col("node"), "left")
     known = F.col("doc_id").isNotNull()

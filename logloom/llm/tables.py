@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,15 +26,19 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a single-machine session gets a temporary folder and a cluster an error.
+    """
     jsc = spark.sparkContext._jsc.sc()
     found = jsc.getCheckpointDir()
     if found.isDefined():
         return found.get()
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured is None:
-        import tempfile
-
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="logloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return jsc.getCheckpointDir().get()
@@ -51,4 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
