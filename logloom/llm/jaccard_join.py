@@ -43,13 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .packing import pack, unpack
+from .packing import pack, tidy, tidy_batches, unpack
 from .tables import discard, n_partitions, table, written
 from .wordhash import U64, mix, ngram_hashes, slices, text_bytes, word_hashes, word_spans
 
 BITS = 56
 WORDS, PERCENT = 5, 80
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("shared_b"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("shared_a"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "na", "nb", "shared_a", "shared_b")
-    return both.mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
+    return both.mapInArrow(tidy_batches(_overlaps), "a long, b long, na long, nb long, overlap long")
 
 
 def _links(percent: int):
@@ -272,9 +272,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     shards = n_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    blocks = rows.where("doc_id IS NOT NULL").mapInArrow(_emit_blocks("doc_id", "text", words, shards), "shard int, blob binary")
-    counted = blocks.groupBy("shard").applyInArrow(_count_shard(shards), "home int, blob binary")
-    sets = counted.groupBy("home").applyInArrow(_assemble(percent), "doc_id long, n long, own long, shared binary, prefix array<long>, digest binary")
+    blocks = rows.where("doc_id IS NOT NULL").mapInArrow(tidy_batches(_emit_blocks("doc_id", "text", words, shards)), "shard int, blob binary")
+    counted = blocks.groupBy("shard").applyInArrow(tidy(_count_shard(shards)), "home int, blob binary")
+    sets = counted.groupBy("home").applyInArrow(tidy(_assemble(percent)), "doc_id long, n long, own long, shared binary, prefix array<long>, digest binary")
     sets = written(sets, "sets")
 
     copies = sets.where("digest IS NOT NULL").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1")
@@ -305,7 +305,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ).withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.withColumns({"lo": F.least("own_block", "other"), "hi": F.greatest("own_block", "other"), "side": F.col("own_block")})
-    derived = rest.groupBy("tok", "lo", "hi").applyInArrow(_derive(percent), "a long, b long").distinct()
+    derived = rest.groupBy("tok", "lo", "hi").applyInArrow(tidy(_derive(percent)), "a long, b long").distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     derived = derived.join(done, ["a", "b"], "left_anti")
     more = _verified(derived, reps).where(_links(percent)).select("a", "b")

@@ -7,7 +7,12 @@ information they hold.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 _LEVEL = 1
@@ -55,3 +60,34 @@ def ranked(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return values[order], place[inverse]
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """A function of one group that releases memory when it is done."""
+
+    def run(group):
+        out = f(group)
+        release()
+        return out
+
+    return run
+
+
+def tidy_batches(f: Callable) -> Callable:
+    """A function of batches that releases memory after each batch it yields and at its end."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for out in f(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return run
