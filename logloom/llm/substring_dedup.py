@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import pack, unpack
+from .packing import pack, tidy, tidy_batches, unpack
 from .tables import n_partitions, table
 from .wordhash import U64, mix, slices
 
@@ -169,9 +169,9 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(__id, __repeated): of each document with any, the int32 numbers of its repeated units."""
     shards = n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id IS NOT NULL")
-    blocks = rows.mapInArrow(_digest_blocks(text_col, shards), "to_home boolean, key int, blob binary")
-    sent = blocks.groupBy("to_home", "key").applyInArrow(_settle(shards), "home int, blob binary")
-    return sent.groupBy("home").applyInArrow(_per_document, "__id long, __repeated binary")
+    blocks = rows.mapInArrow(tidy_batches(_digest_blocks(text_col, shards)), "to_home boolean, key int, blob binary")
+    sent = blocks.groupBy("to_home", "key").applyInArrow(tidy(_settle(shards)), "home int, blob binary")
+    return sent.groupBy("home").applyInArrow(tidy(_per_document), "__id long, __repeated binary")
 
 
 def _removed(text: str | None, repeated: bytes | None, how: tuple[int, int]) -> list[tuple[int, int, int]]:
@@ -214,7 +214,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     plain = both.drop("__repeated")
     schema = plain.withColumn("removed", F.lit(None).cast("array<struct<start:int,end:int,words:int>>")).schema if spans else plain.schema
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy_batches(run), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
