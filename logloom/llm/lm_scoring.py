@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import Level, Mapped, quantise, restore
-from .packing import pack, ranked, unpack
+from .packing import pack, ranked, release, tidy, tidy_batches, unpack
 from .tables import fold, n_partitions, table, written
 from .wordhash import PIECE, U64, slices, text_bytes, word_hashes, word_spans
 
@@ -279,7 +279,9 @@ def _answer(mu: float, frequent: np.ndarray):
 
 def _score(mu: float):
     def run(key: tuple, layout: pa.Table, answers: pa.Table) -> pa.Table:
-        return _score_block(layout, answers, mu)
+        out = _score_block(layout, answers, mu)
+        release()
+        return out
 
     return run
 
@@ -322,10 +324,10 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     """
     shards = shards or 2 * n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    layout = written(rows.mapInArrow(_layout, "block string, blob binary"), "layout")
+    layout = written(rows.mapInArrow(tidy_batches(_layout), "block string, blob binary"), "layout")
     frequent = _frequent(layout)
-    asked = layout.mapInArrow(_requests(shards, frequent), "shard int, block string, blob binary")
-    answers = written(asked.groupBy("shard").applyInArrow(_answer(mu, frequent), "shard int, block string, answer binary"), "answers")
+    asked = layout.mapInArrow(tidy_batches(_requests(shards, frequent)), "shard int, block string, blob binary")
+    answers = written(asked.groupBy("shard").applyInArrow(tidy(_answer(mu, frequent)), "shard int, block string, answer binary"), "answers")
     kind = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, train boolean"
     return layout.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(mu), kind)
 
