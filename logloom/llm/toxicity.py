@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and the character 5-grams inside them, of which those stay that say
-something about the label (chi-square over the examples, at most ``max_terms``).  Examples are
+Terms are all lower-cased words of the examples and the character 5-grams inside them.  A term's
+TF-IDF weight is multiplied by what it says about the label (chi-square over the examples, 0 to
+1, plus ``LEAST``), so no term is left out and the telling ones decide.  Examples are
 sorted so that similar ones are neighbours and cut into blocks of 64.  The index keeps, for
 each term, its postings by block and the largest weight in each block.  A query visits blocks in
-the order of the bound that those maxima give on its cosine, and stops when no further block
-can beat the k-th best found; so the k nearest are exact.  Equal similarities are won by the
+the order of the bound that those maxima give on its cosine, and leaves out those that cannot
+beat the k-th best found; so the k nearest are exact.  Equal similarities are won by the
 smaller document id.
 
 Neighbours vote with weight 1 / (1.05 - cosine).  The share of toxic votes is calibrated by a
@@ -14,7 +15,7 @@ and every score comes with its nearest examples as evidence.
 
 The examples are a bounded sample: ``per_class`` labelled documents of each label (1,000).
 Scoring is one narrow pass over whole texts with the index in the closure; its size is bounded
-by 2 * per_class examples and max_terms terms.
+by the terms of 2 * per_class examples.
 
 Defined results: a text without any indexed term, a null or an empty text has no neighbours and
 gets the examples' rate among such texts; repeated rows are scored one by one; without any
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .calibration import Logistic, labelled_sample
 from .tables import fold, table
 
-GRAM, BLOCK, THRESHOLD = 5, 64, 0.7
+GRAM, BLOCK, THRESHOLD, LEAST = 5, 64, 0.7, 1e-3
 _WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,6 +49,12 @@ def terms_of(word: bytes) -> list[str]:
     return ["=" + w, *dict.fromkeys(w[i : i + GRAM] for i in range(len(w) - GRAM + 1))]
 
 
+def _spans(start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [start, end) in one array, and the weight of the range each is from."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), np.repeat(weight, n)
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors (term number -> weight)."""
 
@@ -55,47 +62,58 @@ class BlockMaxIndex:
         first = [min(v, key=lambda t: (-v[t], t)) if v else n_terms for v in vectors]
         order = sorted(range(len(ids)), key=lambda i: (first[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings[t].append((at, w))
         self.n_blocks = -(-len(ids) // BLOCK)
-        self.at, self.weight, self.cut, self.blocks, self.most = [], [], [], [], []
-        for p in postings:
-            at = np.array([x[0] for x in p], np.int64)
-            w = np.array([x[1] for x in p])
-            b, start = np.unique(at // BLOCK, return_index=True)
-            self.at.append(at % BLOCK)
-            self.weight.append(w)
-            self.blocks.append(b)
-            self.cut.append(dict(zip(b.tolist(), zip(start.tolist(), np.append(start[1:], len(at)).tolist()))))
-            self.most.append(np.maximum.reduceat(w, start) if len(w) else w)
+        sizes = [len(vectors[i]) for i in order]
+        term = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
+        weight = np.fromiter((w for i in order for w in vectors[i].values()), float, sum(sizes))
+        at = np.repeat(np.arange(len(order)), sizes)
+        by = np.lexsort((at, term))
+        term, self.at, self.weight = term[by], at[by], weight[by]
+        # An entry is a term's postings within one block.
+        block = self.at // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.cut = np.append(start, len(term))
+        self.block = block[start]
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.entries = np.searchsorted(term[start], np.arange(n_terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int]]:
         """(cosine, position) of the k nearest with cosine > 0, nearest first; skip: an id to leave out."""
-        bound = np.zeros(self.n_blocks)
-        terms = sorted(query.items())
-        for t, w in terms:
-            bound[self.blocks[t]] += w * self.most[t]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in terms:
-                span = self.cut[t].get(int(b))
-                if span:
-                    score[self.at[t][span[0] : span[1]]] += w * self.weight[t][span[0] : span[1]]
-            for j in np.flatnonzero(score > 0):
-                at = int(b) * BLOCK + int(j)
-                if self.ids[at] != skip:
-                    best.append((-round(min(score[j], 1.0), 9), int(self.ids[at]), at))
-            best = sorted(best)[:k]
-        return [(-s, at) for s, _, at in best]
+        terms = sorted(query)
+        return self.nearest_to(np.array(terms, np.int64), np.array([query[t] for t in terms]), k, skip)
+
+    def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
+        """The same for a query given as rising term numbers and their weights."""
+        entry, w = _spans(self.entries[terms], self.entries[terms + 1], weights)
+        block = self.block[entry]
+        bound = np.bincount(block, w * self.most[entry], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, least, step = np.zeros(self.n_blocks * BLOCK), 0.0, 4
+        while len(order):
+            # The most promising blocks first, then all that can still beat the k-th best.
+            now = np.zeros(self.n_blocks, bool)
+            now[order[:step]] = True
+            chosen = now[block]
+            of = entry[chosen]
+            post, weight = _spans(self.cut[of], self.cut[of + 1], w[chosen])
+            score += np.bincount(self.at[post], weight * self.weight[post], len(score))
+            if skip is not None:
+                score[: len(self.ids)][self.ids == skip] = 0
+            if np.count_nonzero(score) >= k:
+                least = np.partition(score, -k)[-k]
+            order, step = order[step:], self.n_blocks
+            order = order[bound[order] >= least - 1e-8]
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-8))
+        cosine = np.round(np.minimum(score[found], 1.0), 9)
+        best = np.lexsort((self.ids[found], -cosine))[:k]
+        return list(zip(cosine[best].tolist(), found[best].tolist()))
 
 
 class ToxicityModel:
-    def __init__(self, sample: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, max_terms: int = 2000, min_chi2: float = 25.0):
+    def __init__(self, sample: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15):
         self.k = k
         counts = [words_of(text) for _, text, _ in sample]
         labels = np.array([y for _, _, y in sample], np.int64)
@@ -104,45 +122,44 @@ class ToxicityModel:
         for c, y in zip(counts, labels):
             df[y].update({t for w in c for t in terms_of(w)})
 
-        def chi2(t: str) -> float:
+        def says(t: str) -> float:
+            """Chi-square of a term and the label, by the number of examples: 0 to 1."""
             a, b = df[1][t], df[0][t]
-            n = n0 + n1
-            below = (a + b) * (n - a - b) * n1 * n0
-            return n * (a * (n0 - b) - b * (n1 - a)) ** 2 / below if below else 0.0
-
-        scored = sorted(((chi2(t), t) for t in set(df[0]) | set(df[1])), key=lambda x: (-x[0], x[1]))
-        kept = [t for x, t in scored[:max_terms] if x >= min_chi2]
-        self.terms = {t: i for i, t in enumerate(kept)}
-        self.idf = np.array([np.log((1 + len(sample)) / (1 + df[0][t] + df[1][t])) + 1 for t in kept])
-        self._seen: dict[bytes, tuple[int, ...]] = {}
+            below = (a + b) * (n0 + n1 - a - b) * n1 * n0
+            return (a * (n0 - b) - b * (n1 - a)) ** 2 / below if below else 0.0
+
+        every = sorted(set(df[0]) | set(df[1]))
+        self.terms = {t: i for i, t in enumerate(every)}
+        self.idf = np.array([(says(t) + LEAST) * (np.log((1 + len(sample)) / (1 + df[0][t] + df[1][t])) + 1) for t in every])
+        self._seen: dict[bytes, list[int]] = {}
         vectors = [self.vector(c) for c in counts]
         ids = [i for i, _, _ in sample]
-        self.index = BlockMaxIndex(ids, vectors, len(kept))
+        self.index = BlockMaxIndex(ids, [dict(zip(t.tolist(), w.tolist())) for t, w in vectors], len(every))
         by_id = {i: y for i, _, y in sample}
         self.toxic = np.array([by_id[i] for i in self.index.ids.tolist()], np.int64)
 
         rate = {y: totals.get(y, 0) / max(1, (n0, n1)[y]) for y in (0, 1)}
         weight = np.array([rate[y] for y in labels])
-        votes = [self.vote(self.index.nearest(v, k, skip=i)) for i, v in zip(ids, vectors)]
+        votes = [self.vote(self.index.nearest_to(*v, k, skip=i)) for i, v in zip(ids, vectors)]
         some = np.array([v is not None for v in votes], bool)
         self.without = float((weight[~some] @ labels[~some] + 0.5) / (weight[~some].sum() + 1)) if len(sample) else 0.5
         self.calibrate = Logistic(np.array([v for v in votes if v is not None]), labels[some], weight[some])
 
-    def vector(self, counts: Counter[bytes]) -> dict[int, float]:
-        """Unit TF-IDF vector over the indexed terms."""
-        tf: dict[int, int] = {}
+    def vector(self, counts: Counter[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit weighted TF-IDF vector: rising term numbers and their weights."""
         seen, terms = self._seen, self.terms
+        flat, times = [], []
         for w, n in counts.items():
             found = seen.get(w)
             if found is None:
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
-                found = seen[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
-            for t in found:
-                tf[t] = tf.get(t, 0) + n
-        out = {t: (1 + np.log(n)) * self.idf[t] for t, n in tf.items()}
-        norm = sum(x * x for x in out.values()) ** 0.5
-        return {t: x / norm for t, x in out.items()}
+                found = seen[w] = [terms[t] for t in terms_of(w) if t in terms]
+            flat += found
+            times += [n] * len(found)
+        t, of = np.unique(np.array(flat, np.int64), return_inverse=True)
+        out = (1 + np.log(np.bincount(of, times, len(t)))) * self.idf[t]
+        return t, out / np.sqrt(out @ out) if len(out) else out
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         if not near:
@@ -152,13 +169,13 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         vector = self.vector(words_of(text))
-        near = self.index.nearest(vector, self.k) if vector else []
+        near = self.index.nearest_to(*vector, self.k) if len(vector[0]) else []
         vote = self.vote(near)
         return (self.without if vote is None else float(self.calibrate([vote])[0])), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 1000, k: int = 15, max_terms: int = 2000, parts: int = 3, held: int = 1) -> ToxicityModel:
-    return ToxicityModel(*labelled_sample(docs, labels, label_col, parts, held, per_class), k, max_terms)
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 1000, k: int = 15, parts: int = 3, held: int = 1) -> ToxicityModel:
+    return ToxicityModel(*labelled_sample(docs, labels, label_col, parts, held, per_class), k)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", n_evidence: int = 3) -> DataFrame:

@@ -261,6 +261,18 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(3), blank).collect()} == {0.5}
 
 
+def test_toxicity_indexes_every_term():
+    r = random.Random(2)
+    plain = [f"ordinary words {r.randint(0, 9)} of text{r.randint(0, 99)}" for _ in range(100)]
+    sample = [(i, t + (" moronic" if i % 2 else ""), i % 2) for i, t in enumerate(plain)]
+    model = toxicity.ToxicityModel(sample, {0: 50, 1: 50})
+    assert set(model.terms) == {t for _, text, _ in sample for w in toxicity.words_of(text) for t in toxicity.terms_of(w)}
+    score, near = model.score("ordinary")
+    assert len(near) == model.k and score < model.score("ordinary moronic")[0]
+    few = toxicity.ToxicityModel(sample[:20], {0: 10, 1: 10})
+    assert few.score("moronic")[0] > few.score("ordinary words")[0]
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark, 900, 5)
     model = quality_classifier.fit(docs, labels, dict_bytes=4096)
