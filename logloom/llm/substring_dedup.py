@@ -3,10 +3,11 @@ r"""Substring deduplication by hashing lines and their sentences.
 A text is cut at line ends, and a line after each sentence end, into units.  Units are
 normalised (case folded, blanks collapsed) and digested with 128 bits.  Digests are grouped
 globally; of each group the earliest occurrence, by (document id, offset), stays.  The others
-are repeated units, and every run of neighbouring repeated units with ``min_words`` words or
-more is removed.  So a repeated line or paragraph goes, also where it was pasted into a longer
-line, while a short phrase that two texts happen to share stays.  Units of fewer than
-``min_unit_words`` words only go inside a run, never at its ends.
+are repeated units.  A line whose units are all repeated goes whatever its length.  Within other
+lines every run of neighbouring repeated units with ``min_words`` words or more is removed.  So a
+repeated line or paragraph goes, and a long one also where it was pasted into a longer line,
+while a short phrase inside a line of its own stays.  Units of fewer than ``min_unit_words``
+words only go inside a run or with their line, never at a run's ends.
 
 Exchanges carry packed blobs (see packing.py).  Within a block of documents all but the
 earliest occurrence of a digest are settled at once, so a line that a third of all documents
@@ -37,20 +38,22 @@ _CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 _FLUSH = 200_000
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit with a word; end is where the next unit may start."""
-    out, at = [], 0
+def units(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, words, digest, line) of each unit with a word; end is where the next unit may start."""
+    out, at, line = [], 0, 0
     for cut in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
         words = text[at : cut[0]].split()
         if words:
-            out.append((at, cut[1], len(words), xxhash.xxh3_128_intdigest(" ".join(words).casefold().encode("utf-8", "surrogatepass"))))
+            out.append((at, cut[1], len(words), xxhash.xxh3_128_intdigest(" ".join(words).casefold().encode("utf-8", "surrogatepass")), line))
         at = cut[1]
+        line += text[cut[0] : at].strip(" \t") != ""
     return out
 
 
-def runs(found: list[tuple[int, int, int, int]], repeated: set[int], min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int]]:
+def runs(found: list[tuple], repeated: set[int], min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, words) of the spans to remove, ascending; repeated: numbers of the units found elsewhere before."""
-    out, i = [], 0
+    kept = {u[4] for k, u in enumerate(found) if k not in repeated}
+    gone, i = {k for k, u in enumerate(found) if u[4] not in kept}, 0
     while i < len(found):
         if i not in repeated:
             i += 1
@@ -64,10 +67,15 @@ def runs(found: list[tuple[int, int, int, int]], repeated: set[int], min_words:
                 a += 1
             while found[b - 1][2] < min_unit_words:
                 b -= 1
-        words = sum(u[2] for u in found[a:b])
-        if words >= min_words:
-            out.append((found[a][0], found[b - 1][1], words))
+        if sum(u[2] for u in found[a:b]) >= min_words:
+            gone.update(range(a, b))
         i = j
+    out: list[tuple[int, int, int]] = []
+    for k in sorted(gone):
+        start, end, words = found[k][:3]
+        if k - 1 in gone:
+            start, words = out[-1][0], words + out.pop()[2]
+        out.append((start, end, words))
     return out
 
 
@@ -119,7 +127,7 @@ def _digest_blocks(text_col: str, shards: int):
 
         for part in (p for batch in batches for p in slices(batch, text_col)):
             for id_, text in zip(part.column(0).to_pylist(), part.column(1)):
-                for k, (_, _, _, digest) in enumerate(units(text.as_py() or "")):
+                for k, (_, _, _, digest, _) in enumerate(units(text.as_py() or "")):
                     hi.append(digest >> 64)
                     lo.append(digest & 0xFFFFFFFFFFFFFFFF)
                     doc.append(id_)

@@ -210,6 +210,12 @@ def test_substring_long_passage_goes_and_first_stays(spark):
     assert got == {1: passage, 2: "Alone here\nand after", 3: "Own text of three. More of three."}
 
 
+def test_substring_short_lines_go_and_shared_sentences_stay(spark):
+    rows = [(1, "Subscribe now\nOnly here one. Yes.", "", ""), (2, "Mine\nsubscribe  NOW\nYes. But not here.", "", ""), (3, "Subscribe now", "", ""), (4, "Only here one. Yes.\nx", "", "")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, DOCS), spans=False).collect()}
+    assert got == {1: rows[0][1], 2: "Mine\nYes. But not here.", 3: "", 4: "x"}
+
+
 # ---- language model ---------------------------------------------------------------------------------
 
 
