@@ -1,13 +1,16 @@
 r"""Substring deduplication by hashing lines and their sentences.
 
-A text is cut at line ends, and a line after each sentence end, into units.  Units are
+A text is cut at line ends, and a line after each sentence end (ideographic ones need no blank),
+into units.  Units are
 normalised (case folded, blanks collapsed) and digested with 128 bits.  Digests are grouped
 globally; of each group the earliest occurrence, by (document id, offset), stays.  The others
 are repeated units.  A line whose units are all repeated goes whatever its length.  Within other
 lines every run of neighbouring repeated units with ``min_words`` words or more is removed.  So a
 repeated line or paragraph goes, and a long one also where it was pasted into a longer line,
 while a short phrase inside a line of its own stays.  Units of fewer than ``min_unit_words``
-words only go inside a run or with their line, never at a run's ends.
+words only go inside a run or with their line, never at a run's ends.  For both limits a unit has
+as many words as blanks part, or one for each six characters besides blanks if that is more, so
+scripts without blanks are measured too; ``words`` of a span counts by blanks alone.
 
 Exchanges carry packed blobs (see packing.py).  Within a block of documents all but the
 earliest occurrence of a digest are settled at once, so a line that a third of all documents
@@ -34,17 +37,21 @@ from .tables import n_partitions, table
 from .wordhash import U64, mix, slices
 
 MIN_WORDS, MIN_UNIT_WORDS = 25, 4
-_CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
+WORD_CHARS = 6
+_CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+|(?<=[。！？｡])[ \t]*(?![。！？｡」』”’）\r\n])")
 _FLUSH = 200_000
 
 
-def units(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, digest, line) of each unit with a word; end is where the next unit may start."""
+def units(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, words, digest, line, size) of each unit with a word; end is where the next unit may start.
+
+    size is the words, or the characters by WORD_CHARS if that is more.
+    """
     out, at, line = [], 0, 0
     for cut in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
         words = text[at : cut[0]].split()
         if words:
-            out.append((at, cut[1], len(words), xxhash.xxh3_128_intdigest(" ".join(words).casefold().encode("utf-8", "surrogatepass")), line))
+            out.append((at, cut[1], len(words), xxhash.xxh3_128_intdigest(" ".join(words).casefold().encode("utf-8", "surrogatepass")), line, max(len(words), sum(map(len, words)) // WORD_CHARS)))
         at = cut[1]
         line += text[cut[0] : at].strip(" \t") != ""
     return out
@@ -62,12 +69,12 @@ def runs(found: list[tuple], repeated: set[int], min_words: int = MIN_WORDS, min
         while j < len(found) and j in repeated:
             j += 1
         a, b = i, j
-        if any(u[2] >= min_unit_words for u in found[i:j]):
-            while found[a][2] < min_unit_words:
+        if any(u[5] >= min_unit_words for u in found[i:j]):
+            while found[a][5] < min_unit_words:
                 a += 1
-            while found[b - 1][2] < min_unit_words:
+            while found[b - 1][5] < min_unit_words:
                 b -= 1
-        if sum(u[2] for u in found[a:b]) >= min_words:
+        if sum(u[5] for u in found[a:b]) >= min_words:
             gone.update(range(a, b))
         i = j
     out: list[tuple[int, int, int]] = []
@@ -127,7 +134,7 @@ def _digest_blocks(text_col: str, shards: int):
 
         for part in (p for batch in batches for p in slices(batch, text_col)):
             for id_, text in zip(part.column(0).to_pylist(), part.column(1)):
-                for k, (_, _, _, digest, _) in enumerate(units(text.as_py() or "")):
+                for k, (_, _, _, digest, *_) in enumerate(units(text.as_py() or "")):
                     hi.append(digest >> 64)
                     lo.append(digest & 0xFFFFFFFFFFFFFFFF)
                     doc.append(id_)

@@ -216,6 +216,17 @@ def test_substring_short_lines_go_and_shared_sentences_stay(spark):
     assert got == {1: rows[0][1], 2: "Mine\nYes. But not here.", 3: "", 4: "x"}
 
 
+def test_substring_text_without_blanks(spark):
+    r = random.Random(4)
+    sentence = lambda n, end: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)) + end
+    passage = "".join(sentence(30, "。") for _ in range(8))
+    blank = " ".join(sentence(200, ".") for _ in range(2))
+    own = [sentence(20, "。") for _ in range(4)]
+    rows = [(1, passage + own[0], "", ""), (2, own[1] + passage + own[2], "", ""), (3, own[3] + passage[:31] + own[2], "", ""), (4, blank + " One.", "", ""), (5, "Two. " + blank + " Three.", "", "")]
+    got = {x["doc_id"]: x["text"] for x in substring_dedup.dedup(spark.createDataFrame(rows, DOCS), spans=False).collect()}
+    assert got == {1: rows[0][1], 2: own[1] + own[2], 3: rows[2][1], 4: rows[3][1], 5: "Two. Three."}
+
+
 # ---- language model ---------------------------------------------------------------------------------
 
 
