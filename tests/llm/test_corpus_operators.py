@@ -321,6 +321,27 @@ def test_mixture(spark):
         mixing.mix(spark.range(30).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source")), slots=20).collect()
 
 
+def test_mixture_of_more_sources_than_slots(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("source"))
+    out = mixing.mix(df, block_docs=2).collect()
+    assert len(out) == 6000 and {r["mix_slot"] for r in out} == set(range(3000))
+    assert len({(r["mix_slot"], r["mix_offset"]) for r in out}) == 6000
+    first = Counter(r["source"] for r in out if r["mix_slot"] < 1500)
+    assert max(first.values()) == 2
+
+
+def test_exact_mixture_follows_the_weights(spark):
+    share = {"s0": 1 / 3, **{f"s{i}": 2 / 57 for i in range(1, 20)}}
+    rows = [(i * 10_000 + k, s) for i, (s, w) in enumerate(share.items()) for k in range(round(9000 * w))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = spark.createDataFrame(list(share.items()), "source string, weight double")
+    out = mixing.mix(docs, weights, block_docs=1, exact=True, bucket_docs=500).orderBy("mix_slot").collect()
+    assert [r["mix_slot"] for r in out] == list(range(len(rows)))
+    for s, w in share.items():
+        done = np.cumsum([r["source"] == s for r in out])[:8900]
+        assert np.abs(done - np.arange(1, len(done) + 1) * w).max() < 2
+
+
 def test_mixture_is_native(spark):
     plan = mixing.mix(spark.createDataFrame([(1, "t", "", "s")], DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
