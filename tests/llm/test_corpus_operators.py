@@ -371,3 +371,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert passage in out[400]["text"] and passage not in out[401]["text"] and passage not in out[402]["text"]
     assert all(x["n_chars"] == len(x["text"]) for x in out.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "substring_dedup", "decontamination", "mixing"]
+
+
+def test_pipeline_mixes_by_the_weights_themselves(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"s{i % 20}" if i % 3 else "s0") for i in range(6400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    slots = sorted({r["mix_slot"] for r in corpus_pipeline.mixture(spark, docs, "").collect()})
+    assert slots == list(range(len(slots)))
