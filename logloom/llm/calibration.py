@@ -14,7 +14,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: i
 
     Only ids whose fold is not ``held`` count.  The sample is the first per_class ids in the
     order of a hash, so it does not depend on partitioning.  A document with both labels has
-    label 1.  What reaches the driver is bounded by 2 * per_class documents.
+    label 1, and of several texts of one id the largest counts.  What reaches the driver is bounded by 2 * per_class documents.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, parts) != held))
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
@@ -22,9 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: i
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select(id_col, text_col).join(chosen, id_col).collect()
-    unique = {r[id_col]: (r[id_col], r[text_col] or "", r["label"]) for r in rows}
-    return sorted(unique.values()), totals
+    one = docs.select(id_col, text_col).join(chosen, id_col).groupBy(id_col).agg(F.max(text_col).alias("text"), F.max("label").alias("label"))
+    return sorted((r[0], r[1] or "", r[2]) for r in one.collect()), totals
 
 
 class Logistic:

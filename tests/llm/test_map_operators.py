@@ -1,9 +1,11 @@
 """Row-wise operators: rules, urls, decontamination, language, toxicity, quality."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,7 +256,7 @@ def test_toxicity(spark):
     held = [(i, t) for i, _, t in known if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i]["score"] >= 0.7) == bool(t) for i, t in held]) > 0.97
     trained = {i for i, *_ in known if zlib.crc32(str(i).encode()) % 3 != 1}
-    assert set(model.index.ids.tolist()) <= trained
+    assert set(model.examples.index.ids.tolist()) <= trained
     edges = toxicity.score(spark.createDataFrame(AWKWARD, DOCS).withColumn("score", F.lit("x")), model).collect()
     assert len(edges) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in edges)
     blank = toxicity.fit(docs, labels.where("doc_id < 0"))
@@ -266,13 +268,78 @@ def test_toxicity_indexes_every_term():
     plain = [f"ordinary words {r.randint(0, 9)} of text{r.randint(0, 99)}" for _ in range(100)]
     sample = [(i, t + (" moronic" if i % 2 else ""), i % 2) for i, t in enumerate(plain)]
     model = toxicity.ToxicityModel(sample, {0: 50, 1: 50})
-    assert set(model.terms) == {t for _, text, _ in sample for w in toxicity.words_of(text) for t in toxicity.terms_of(w)}
+    assert set(model.examples.terms) == {t for _, text, _ in sample for w in toxicity.words_of(text) for t in toxicity.terms_of(w)}
     score, near = model.score("ordinary")
     assert len(near) == model.k and score < model.score("ordinary moronic")[0]
     few = toxicity.ToxicityModel(sample[:20], {0: 10, 1: 10})
     assert few.score("moronic")[0] > few.score("ordinary words")[0]
 
 
+def brute_tfidf(sample):
+    """Weights by term, and the vector of any text, from the definitions."""
+    split = lambda t: Counter(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(t)))
+    has = [(set(split(t)), y) for _, t, y in sample]
+    n, n1 = len(has), sum(y for _, y in has)
+    weight = {}
+    for term in set().union(*(w for w, _ in has)):
+        a, b = (sum(term in w for w, y in has if y == k) for k in (1, 0))
+        low_ = (a + b) * (n - a - b) * n1 * (n - n1)
+        chi = (a * (n - n1 - b) - b * (n1 - a)) ** 2 / low_ if low_ else 0
+        weight[term] = (chi + toxicity.LEAST) * (math.log((1 + n) / (1 + a + b)) + 1)
+
+    def vector(text):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in split(text).items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    return vector
+
+
+def brute_vote(sample, k):
+    vector = brute_tfidf(sample)
+    known = [(vector(t), y) for _, t, y in sample]
+
+    def vote(text):
+        v = vector(text)
+        near = sorted(((-round(sum(x * w.get(t, 0) for t, x in v.items()), 9), j) for j, (w, _) in enumerate(known)))[:k]
+        near = [(-c, j) for c, j in near if c < 0]
+        w = [1 / (1.05 - c) for c, _ in near]
+        return sum(x * known[j][1] for x, (_, j) in zip(w, near)) / sum(w) if near else None
+
+    return vote
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Neighbours, votes, cross-fitted calibration and scores of every document, from the definitions."""
+    docs, labels, known = labelled(spark, 120, 8)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = sorted(((i, texts[i], t) for i, _, t in known if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda x: (x[1].encode(), x[2]))
+    vote = brute_vote(train, 15)
+    own = [None] * len(train)
+    for f in range(toxicity.FOLDS):
+        others = brute_vote([x for j, x in enumerate(train) if j % toxicity.FOLDS != f], 15)
+        for j in range(f, len(train), toxicity.FOLDS):
+            own[j] = others(train[j][1])
+    some = [j for j, v in enumerate(own) if v is not None]
+    fit = toxicity.Logistic(np.array([own[j] for j in some]), np.array([train[j][2] for j in some]), np.ones(len(some)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    for i, t in texts.items():
+        v = vote(t)
+        assert v is None or got[i] == pytest.approx(float(fit([v])[0]), abs=1e-6), i
+
+
+def test_toxicity_ids_and_partitions_do_not_matter(spark):
+    docs, labels, _ = labelled(spark, 90, 3)
+    twice = docs.union(docs.where("doc_id < 9").withColumn("text", F.lit("")))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(twice.repartition(7), labels.repartition(3))
+    assert [one.score(t) for t in ("abc moronic", "abc", "")] == [two.score(t) for t in ("abc moronic", "abc", "")]
+    sample = [(i, t, i % 2) for i, t in enumerate(["same text", "same text", "same text", "other moronic"] * 5)]
+    moved = [(1000 - i, t, y) for i, t, y in sample]
+    a, b = toxicity.ToxicityModel(sample, {0: 10, 1: 10}, 3), toxicity.ToxicityModel(moved, {0: 10, 1: 10}, 3)
+    assert a.score("same text")[0] == b.score("same text")[0]
+    assert toxicity.score(docs.where("doc_id < 0"), one).count() == 0
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark, 900, 5)
     model = quality_classifier.fit(docs, labels, dict_bytes=4096)
