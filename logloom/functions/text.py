@@ -103,7 +103,11 @@ def minute_of_day(ts: Column) -> Column:
     return F.when(F.length(ts) < 5, 0).otherwise(F.coalesce(hour * 60 + minute, F.lit(0))).cast("int")
 
 
+def full_date(julian_date: Column) -> Column:
+    """yyDDD (of this century) as yyyyDDD; anything else as it is."""
+    return F.when(F.length(julian_date) == 5, F.concat(F.lit("20"), julian_date)).otherwise(julian_date)
+
+
 def event_time(julian_date: Column, ts: Column) -> Column:
     """yyyyDDD (or yyDDD, of this century) and HH:MM:SS.hh as a timestamp; null if malformed."""
-    day = F.when(F.length(julian_date) == 5, F.concat(F.lit("20"), julian_date)).otherwise(julian_date)
-    return F.try_to_timestamp(F.concat(day, ts), F.lit("yyyyDDDHH:mm:ss.SS"))
+    return F.try_to_timestamp(F.concat(full_date(julian_date), ts), F.lit("yyyyDDDHH:mm:ss.SS"))

@@ -16,8 +16,8 @@ CHUNK_TOKENS, OVERLAP_TOKENS = 256, 64
 def window_chunks(messages: DataFrame, minutes: int = WINDOW_MINUTES, max_messages: int = MAX_MESSAGES, keys: tuple[str, ...] = ("sysname", "julian_date")) -> DataFrame:
     """Messages in order cut where the window of the day changes or a chunk is full (0: never full).
 
-    One window over ``keys``; with keys=('stream',) the cut ignores systems and days, and the
-    chunk takes those of its first message.
+    One window over ``keys``, through which a filter on them reaches the scan; with keys=('stream',)
+    the cut ignores systems and days, and the chunk takes those of its first message.
     """
     order = Window.partitionBy(*keys).orderBy("seq")
     w = F.floor(tx.minute_of_day(F.col("ts")) / minutes)
@@ -32,21 +32,29 @@ def window_chunks(messages: DataFrame, minutes: int = WINDOW_MINUTES, max_messag
     first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
     ordered = F.array_sort(F.collect_list(F.struct("seq", "msgid", "text")))
     groups = [*keys, "__run", "__part"]
+    own = {c: F.col(c if c in keys else f"__{c}") for c in ("sysname", "julian_date")}
     out = out.groupBy(*groups).agg(
-        F.min("seq").alias("seq"), *[first(c).alias(f"__{c}") for c in ("sysname", "julian_date", "jobname", "ts")],
+        F.min("seq").alias("seq"), *[first(c).alias(f"__{c}") for c in ("sysname", "julian_date", "jobname", "ts") if c not in keys],
         last("ts").alias("ts_end"), F.max_by("severity", F.struct(rank, -F.col("seq"))).alias("severity"),
         ordered.alias("__all"), F.count("*").cast("int").alias("msg_count"),
     )
     full = F.array_join(F.transform("__all", lambda x: x["text"]), "\n")
     out = out.withColumns({"full_text": full, "msgid": tx.msgid_list(F.transform("__all", lambda x: x["msgid"]))})
     return out.select(
-        F.concat_ws("/", F.lit("operlog"), F.col("__sysname"), F.col("__julian_date"), F.concat(F.col("__ts"), F.lit("-"), F.col("ts_end"))).alias("filename"),
+        F.concat_ws("/", F.lit("operlog"), own["sysname"], own["julian_date"], F.concat(F.col("__ts"), F.lit("-"), F.col("ts_end"))).alias("filename"),
         tx.snippet(F.col("full_text"), SNIPPET_CHARS).alias("snippet"), F.lit("operlog").alias("source_type"), "msgid",
         F.when(F.trim("severity") == "", " ").otherwise(F.col("severity")).alias("severity"), F.col("__jobname").alias("jobname"),
-        F.col("__sysname").alias("sysname"), F.col("__ts").alias("ts_start"), "ts_end", F.col("__julian_date").alias("julian_date"), "msg_count", "full_text", "seq",
+        own["sysname"].alias("sysname"), F.col("__ts").alias("ts_start"), "ts_end", own["julian_date"].alias("julian_date"), "msg_count", "full_text", "seq",
     )
 
 
+def closed(messages: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
+    """Messages whose window is over: those of every system but its last window, which may still grow."""
+    at = F.struct(tx.full_date(F.col("julian_date")).alias("day"), F.floor(tx.minute_of_day(F.col("ts")) / minutes).alias("w"))
+    last = messages.groupBy(F.col("sysname").alias("__sys")).agg(F.max(at).alias("__last"))
+    return messages.join(last, F.col("sysname") == F.col("__sys")).where(at < F.col("__last")).drop("__sys", "__last")
+
+
 def token_budget(chunk_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, prefix_tokens: int = 0) -> tuple[int, int]:
     """Tokens of a chunk and the step between chunks; a budget under 32 is an error."""
     budget = chunk_tokens - prefix_tokens
@@ -74,13 +82,18 @@ def document_chunks(documents: DataFrame, id_col: str = "filename", text_col: st
     text = F.col(text_col)
     count = F.size(F.split(tx.trim(text), r"\s+")) if n_tokens is None else n_tokens
     docs = documents.where(F.length(tx.trim(text)) > 0).select(id_col, text.alias("__text"), count.cast("int").alias("n_tokens"))
-    out = docs.withColumn("w", F.explode(token_windows(F.col("n_tokens"), budget, step)))
     size = F.length("__text").cast("long")
-    at = lambda c: F.least((F.col(c).cast("long") * size / F.col("n_tokens")).cast("long"), size)
-    out = out.select(id_col, "n_tokens", F.col("w.chunk_no").alias("chunk_no"), F.col("w.start").alias("token_start"), F.col("w.end").alias("token_end"), "__text")
-    out = out.withColumns({"char_start": at("token_start"), "char_end": at("token_end")})
-    part = F.substring(F.col("__text"), (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
-    return out.withColumn("full_text", part).withColumn("snippet", tx.snippet(F.col("full_text"), SNIPPET_CHARS)).drop("__text")
+    at = lambda c: F.least((c.cast("long") * size / F.col("n_tokens")).cast("long"), size)
+
+    def cut(w: Column) -> Column:
+        a, b = at(w["start"]), at(w["end"])
+        part = F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int"))
+        return F.struct(w["chunk_no"].alias("chunk_no"), w["start"].alias("token_start"), w["end"].alias("token_end"), a.alias("char_start"), b.alias("char_end"), part.alias("full_text"))
+
+    # Pieces are cut before the rows are made, so no row carries the whole text.
+    pieces = F.transform(token_windows(F.col("n_tokens"), budget, step), cut)
+    out = docs.select(id_col, "n_tokens", F.explode(pieces).alias("w")).select(id_col, "n_tokens", "w.*")
+    return out.withColumn("snippet", tx.snippet(F.col("full_text"), SNIPPET_CHARS))
 
 
 def manual_entries(files: DataFrame, id_col: str = "filename", text_col: str = "content") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -35,16 +35,31 @@ def without_files(chunks: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def high_water(chunks: DataFrame) -> DataFrame:
-    """(sysname, mark): the end of each system's latest log chunk, as date and time of day."""
+    """(sysname, mark): the latest instant of each system's log chunks, as date and time of day.
+
+    A chunk's messages may have arrived out of order, so its start counts as well as its end.
+    """
     log = chunks.where(F.col("source_type") == "operlog")
-    return log.groupBy("sysname").agg(F.max(F.concat("julian_date", F.lit(" "), "ts_end")).alias("mark"))
+    return log.groupBy("sysname").agg(F.max(_instant(F.greatest("ts_start", "ts_end"))).alias("mark"))
 
 
 def beyond(chunks: DataFrame, marks: DataFrame) -> DataFrame:
     """Chunks that start after their system's mark; systems without one pass whole."""
-    start = F.concat("julian_date", F.lit(" "), "ts_start")
+    return _after(chunks, marks, _instant(F.col("ts_start")))
+
+
+def unseen(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Messages after their system's mark; systems without one pass whole."""
+    return _after(messages, marks, _instant(F.col("ts")))
+
+
+def _instant(ts: Column) -> Column:
+    return F.concat(tx.full_date(F.col("julian_date")), F.lit(" "), ts)
+
+
+def _after(rows: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
     m = marks.select(F.col("sysname").alias("__sys"), F.col("mark").alias("__mark"))
-    return chunks.join(m, F.col("sysname") == F.col("__sys"), "left").where(F.col("__mark").isNull() | (start > F.col("__mark"))).drop("__sys", "__mark")
+    return rows.join(m, F.col("sysname") == F.col("__sys"), "left").where(F.col("__mark").isNull() | (at > F.col("__mark"))).drop("__sys", "__mark")
 
 
 def counters(classified: DataFrame, gone: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import chunking, console, embed, filters, incremental
 from ..schema import META
+from ..sinks.render import Metrics
 from ..sources import files as fs
 from ..sources.store import ChunkStore
 from .query import Options
@@ -36,12 +39,13 @@ def with_vectors(rows: DataFrame, embedder: embed.Embedder) -> DataFrame:
     return rows.withColumn("embedding", embed.embed(F.col("full_text"), embedder))
 
 
-def index(spark: SparkSession, store: ChunkStore, directory: str, suffixes: str = "", manuals: bool = False, source_type: str = "document", embedder: embed.Embedder | None = None, chunk_tokens: int = chunking.CHUNK_TOKENS, overlap: int = chunking.OVERLAP_TOKENS) -> dict[str, int]:
-    """Bring the store up to date with the files below a directory; counts of files by status.
+def index(spark: SparkSession, store: ChunkStore, directory: str, suffixes: str = "", manuals: bool = False, source_type: str = "document", embedder: embed.Embedder | None = None, chunk_tokens: int = chunking.CHUNK_TOKENS, overlap: int = chunking.OVERLAP_TOKENS, metrics: Metrics | None = None) -> dict[str, int]:
+    """Bring the store up to date with the files below a directory; counts of files by status, also in metrics.
 
     Unchanged files are not read again; chunks of changed and vanished files below the
     directory are dropped and new ones added in one snapshot.  Other directories and logs stay.
     """
+    began, metrics = time.perf_counter(), Metrics() if metrics is None else metrics
     found = fs.scan(spark, directory, suffixes)
     old = incremental.indexed_files(store.read().where("source_type NOT IN ('operlog', 'operlog_meta')"))
     status = incremental.classify(found.select("filename", "mtime"), old)
@@ -49,17 +53,33 @@ def index(spark: SparkSession, store: ChunkStore, directory: str, suffixes: str
     stale = status.where("status = 'updated'").select(F.col("filename").alias("base")).unionByName(gone.select("base"))
     counts = {r["status"]: r["files"] for r in incremental.counters(status, gone).collect()}
     if set(counts) - {"unchanged"}:
-        fresh = found.join(status.where("status != 'unchanged'").select("filename"), "filename", "left_semi")
+        # The driver holds the listing of the directory anyway; only these files' contents are read.
+        changed = [r["filename"] for r in status.where("status != 'unchanged'").select("filename").collect()]
+        fresh = fs.read_files(spark, changed)
         rows = manual_rows(fresh) if manuals else document_rows(fresh, source_type, chunk_tokens, overlap)
-        store.replace(with_vectors(rows, embedder or embed.HashEmbedder(prefix=embed.DOCUMENT_PREFIX)), stale)
+        store.replace(with_vectors(rows, embedder or embed.HashEmbedder(n_ctx=chunk_tokens + embed.EXTRA_CONTEXT, prefix=embed.DOCUMENT_PREFIX)), stale)
+    for name, n in counts.items():
+        metrics.add(f"files_{name}", n)
+    metrics.add("index_ms", 1000 * (time.perf_counter() - began))
     return counts
 
 
-def ingest(messages: DataFrame, store: ChunkStore, minutes: int = chunking.WINDOW_MINUTES, max_messages: int = chunking.MAX_MESSAGES, skip: filters.SkipList = filters.DEFAULT, embedder: embed.Embedder | None = None) -> None:
-    """Append the window chunks of parsed messages that lie beyond each system's mark."""
-    chunks = chunking.window_chunks(filters.drop_skipped(messages, skip), minutes, max_messages)
-    fresh = incremental.beyond(chunks, incremental.high_water(store.read())).drop("seq")
-    store.append(with_vectors(fresh, embedder or embed.HashEmbedder(prefix=embed.DOCUMENT_PREFIX)))
+def ingest(messages: DataFrame, store: ChunkStore, minutes: int = chunking.WINDOW_MINUTES, max_messages: int = chunking.MAX_MESSAGES, skip: filters.SkipList = filters.DEFAULT, embedder: embed.Embedder | None = None, complete: bool = False, metrics: Metrics | None = None) -> None:
+    """Append the window chunks of the messages beyond each system's mark.
+
+    A system's last window may still grow, so it is left for the next run, with all of its messages;
+    with ``complete`` the log has ended and it is stored too.  metrics gets the chunks and messages stored.
+    """
+    began = time.perf_counter()
+    before = store.totals() if metrics is not None else {}
+    fresh = incremental.unseen(messages, incremental.high_water(store.read()))
+    fresh = filters.drop_skipped(fresh if complete else chunking.closed(fresh, minutes), skip)
+    chunks = chunking.window_chunks(fresh, minutes, max_messages).drop("seq")
+    store.append(with_vectors(chunks, embedder or embed.HashEmbedder(n_ctx=embed.CONSOLE_CONTEXT, prefix=embed.DOCUMENT_PREFIX)))
+    if metrics is not None:
+        for name, n in store.totals().items():
+            metrics.add(name, n - before[name])
+        metrics.add("ingest_ms", 1000 * (time.perf_counter() - began))
 
 
 def summarize(messages: DataFrame, history: DataFrame | None = None, skip: filters.SkipList = filters.DEFAULT, verbose: bool = False) -> DataFrame:

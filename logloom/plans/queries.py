@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,9 @@ from ..operators import chunking, console, embed, etl, filters, fusion, incremen
 from ..operators.keyword import KeywordQuery
 from ..sinks import render
 from ..sources import syslog
+from ..sources.store import ChunkStore
+from .query import Options, overlay, parse_query
+from .scratch import folder
 from .search import search
 from .views import MESSAGES_SQL, SKIPPED_SQL, chunks_sql, log_chunks, messages, table
 
@@ -465,12 +469,24 @@ def ibm_message_split(spark, d):
     return chunking.manual_entries(_manuals(spark, d)).select("base", "msgid", "severity", "full_text")
 
 
-@query()
+_HASHED = """list_transform(range(0, 64), lambda k: list_sum(list_transform(list_filter({0}, lambda h: (h >> 1) % 64 = k), lambda h: CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)))"""
+_HASHES = "list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT))"
+_ASKED = "the message of the system"
+
+
+@query(f"""
+WITH {_WINDOWS}, c AS (SELECT *, CAST(token_start AS BIGINT) * length(text) // n AS a, CAST(token_end AS BIGINT) * length(text) // n AS b FROM win),
+h AS (SELECT doc_id * 100000 + chunk_no AS id, {_HASHES.format("substr(text, a + 1, b - a)")} AS hs FROM c UNION ALL SELECT -1, {_HASHES.format(f"'{_ASKED}'")}),
+v AS (SELECT id, list_transform({_HASHED.format("hs")}, lambda x: CASE WHEN x < 0 THEN -sqrt(-x) ELSE sqrt(coalesce(x, 0)) END) AS v FROM h),
+u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 1e-30)) AS u FROM v),
+x AS (SELECT id, round(list_distance(CAST(u AS DOUBLE[]), (SELECT CAST(u AS DOUBLE[]) FROM u WHERE id = -1)), 4) AS distance FROM u WHERE id >= 0)
+SELECT id, distance FROM x ORDER BY distance, id LIMIT 5""")
 def hash_embed_search(spark, d):
     """Document chunks embedded by the hashing embedder and searched by text."""
     e = embed.HashEmbedder(64)
     chunks = _doc_chunks(spark, d).select((F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("id"), embed.embed(F.col("full_text"), e).alias("embedding"))
-    return knn.knn(chunks, [float(x) for x in e.encode(["the message of the system"])[0]], 5)
+    near = knn.knn(chunks, [float(x) for x in e.encode([_ASKED])[0]], 50).withColumn("distance", F.round("distance", 4))
+    return near.orderBy("distance", "id").limit(5)
 
 
 @query(f"""
@@ -491,3 +507,274 @@ def abend_code_split(spark, d):
     docs = table(spark, d, "documents")
     text = "Contents\n0C1\nChapter 2. System completion codes\n0C4\n\nExplanation: protection\n\nChapter 3. Wait state codes\n0A1\nExplanation: wait\nChapter 5. Other\n0A2\nExplanation: none\nChapter 7. IPCS codes\n1200\nExplanation: user\n"
     return etl.code_entries(docs.select(F.concat(F.lit("codes/"), F.col("doc_id").cast("string")).alias("filename"), F.lit(text).alias("content"))).select("file", "code", "text")
+
+
+_SUBCODES = [("ABEND_0Cx", "System code 0Cx (S0Cx)\nExplanation: all\n0C1\nOperation exception\n0C4\nProtection\nSystem action\nEnds")]
+_SUBCODES += [(f"ABEND_{c}", f"System abend code {c} (S{c})\n\nSystem code 0Cx (S0Cx)\nExplanation: all\n\n{t}\n\nSystem action\nEnds") for c, t in (("0C1", "Operation exception"), ("0C4", "Protection"))]
+
+
+def _values(rows: list[tuple]) -> str:
+    one = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def _subcodes(spark, d) -> DataFrame:
+    text = "Chapter 2. System completion codes\n0Cx\nExplanation: all\n0C1\nOperation exception\n0C4\nProtection\nSystem action\nEnds\nChapter 3. Wait state codes\n0A1\nExplanation: wait\n"
+    docs = table(spark, d, "documents")
+    return etl.code_entries(docs.select(F.concat(F.lit("codes/"), F.col("doc_id").cast("string")).alias("filename"), F.lit(text).alias("content")))
+
+
+@query(f"SELECT 'codes/' || doc_id AS file, code, body AS text FROM documents, (VALUES {_values(_SUBCODES)}, ('WAIT_0A1', 'System code 0A1 (S0A1)' || chr(10) || 'Explanation: wait')) AS v(code, body)")
+def abend_subcode_split(spark, d):
+    """A code page for a family of codes, taken apart into its members."""
+    return _subcodes(spark, d).select("file", "code", "text")
+
+
+@query("SELECT 3 * count(*) AS abend, count(*) AS wait, CAST(0 AS BIGINT) AS ipcs FROM documents")
+def abend_code_counts(spark, d):
+    return etl.code_counts(_subcodes(spark, d))
+
+
+@query("""
+SELECT file, string_agg(code || chr(10) || body || chr(10), chr(10) ORDER BY n) AS content
+FROM (SELECT 'm' || doc_id AS file, code, body, n FROM documents, (VALUES ('IEF450I', 'Meaning of it', 1), ('IEC030I', 'data error while reading' || chr(10) || 'More', 2)) AS v(code, body, n)) GROUP BY file""")
+def manual_files(spark, d):
+    """Cleaned manuals written as text files and read again."""
+    text = "Chapter 1. IEF messages\nIEF450I\nMeaning of it\nIBM\n\nIEC030I data error while reading\nMore\n30\n"
+    docs = table(spark, d, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("filename"), F.lit(text).alias("content"))
+    path = folder(spark, "manuals")
+    render.write_manuals(etl.manual_text(etl.message_entries(docs), "msgid"), path)
+    back = spark.read.schema("value string, file string").text(path, wholetext=True)
+    return back.select("file", F.regexp_replace("value", r"\n\z", "").alias("content"))
+
+
+# ---- stores that are written, and runs over them -----------------------------------------------------
+
+
+def _stored(spark, d) -> ChunkStore:
+    """The log chunks in a store of their own."""
+    store = ChunkStore(spark, folder(spark, "chunks"))
+    store.append(log_chunks(spark, d))
+    return store
+
+
+@query(f"WITH {chunks_sql()} SELECT id, filename, source_type, julian_date, ts_start, severity, msg_count FROM chunk WHERE sysname <> 'SYS1' OR msg_count > 1")
+def store_roundtrip(spark, d):
+    """Two appends, then the chunks of one system's files replaced by some of them."""
+    c = log_chunks(spark, d)
+    store = ChunkStore(spark, folder(spark, "chunks"))
+    store.append(c.where("sysname <> 'SYS1'"))
+    store.append(c.where("sysname = 'SYS1'"))
+    mine = store.read().where("sysname = 'SYS1'")
+    store.replace(mine.where("msg_count > 1"), mine.select(tx.base_filename(F.col("filename")).alias("base")))
+    return store.read().select("id", "filename", "source_type", "julian_date", "ts_start", "severity", "msg_count")
+
+
+@query(f"WITH {chunks_sql()} SELECT id FROM chunk WHERE sysname <> 'SYS0'")
+def store_delete_files(spark, d):
+    store = _stored(spark, d)
+    store.delete_files(store.read().where("sysname = 'SYS0'").select(tx.base_filename(F.col("filename")).alias("base")).distinct())
+    return store.read().select("id")
+
+
+@query(f"WITH {chunks_sql()} {_HIT} WHERE julian_date = {_DAY} AND ts_end >= '11:50:00.00' AND ts_start <= '12:10:59.99' AND sysname = 'SYS1'")
+def timeline_on_store(spark, d):
+    """A timeline that reads one day's folder of a written store."""
+    return keyword.timeline(_stored(spark, d).read(), _a_day(spark, d), "12:00", 10, "SYS1").select(*_COLS)
+
+
+@query(f"WITH {chunks_sql()} {_HIT} WHERE {_MEMBER.format('IEF450E')} AND julian_date = {_DAY} {_LATEST} 20")
+def keyword_on_store(spark, d):
+    return keyword.keyword_search(_stored(spark, d).read(), KeywordQuery(msgid="ief450e", julian_date=_a_day(spark, d)), 20).select(*_COLS)
+
+
+@query(f"WITH {chunks_sql(5, 50, True)} SELECT filename, msgid, severity, msg_count FROM chunk")
+def ingest_growing_window(spark, d):
+    """A log ingested in the middle of a window, again when it has grown, and once more when it is complete."""
+    from .api import ingest
+
+    m = messages(spark, d)
+    store = ChunkStore(spark, folder(spark, "chunks"))
+    early = m.where((F.col("julian_date") < "2024010") | (F.col("julian_date") == "2024010") & (F.col("ts") < "12:02:30.00"))
+    ingest(early, store)
+    ingest(m, store)
+    ingest(m, store, complete=True)
+    return store.read().select("filename", "msgid", "severity", "msg_count")
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT sysname, julian_date, count(*) AS messages FROM msg WHERE NOT {SKIPPED_SQL} AND msgid <> '' GROUP BY ALL")
+def stream_ingest(spark, d):
+    """Log files read as a stream of lines into a store."""
+    from ..streaming import ingest as streaming
+
+    path = folder(spark, "logs")
+    # A file for each system, in the order of arrival.
+    lines = _log_lines(spark, d).repartition("stream").sortWithinPartitions("stream", "line_no")
+    lines.select("line", F.col("stream").alias("system")).write.partitionBy("system").text(path)
+    store = ChunkStore(spark, folder(spark, "chunks"))
+    files = streaming.log_files(spark, f"{path}/*/")
+    streaming.ingest(files, store, folder(spark, "progress")).awaitTermination()
+    return store.read().groupBy("sysname", "julian_date").agg(F.sum("msg_count").alias("messages"))
+
+
+@query(f"""
+WITH {MESSAGES_SQL}
+SELECT strftime(time_bucket(INTERVAL 60 MINUTE, strptime(julian_date || ts || '0000', '%Y%j%H:%M:%S.%f')), '%Y-%m-%d %H:%M') AS start, sysname, severity, count(*) AS messages FROM msg GROUP BY ALL""")
+def stream_severity_windows(spark, d):
+    """Event-time windows of a stream of messages, under a watermark."""
+    from ..streaming import ingest as streaming
+
+    path, name = folder(spark, "messages"), "sevw_" + uuid.uuid4().hex
+    m = messages(spark, d)
+    m.write.parquet(path)
+    stream = spark.readStream.schema(m.schema).parquet(path)
+    started = streaming.severity_windows(stream, 60).writeStream.format("memory").queryName(name).outputMode("complete")
+    started.option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sysname", "severity", "messages")
+
+
+_VSTORE = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label, CASE label % 4 WHEN 0 THEN 'IEF450E' WHEN 1 THEN 'IEC030A' WHEN 2 THEN 'ICH408W' ELSE 'X' END AS mid, CASE WHEN label < 5 THEN 0 ELSE 1 END AS store FROM embeddings)"
+
+
+def _vector_stores(spark, d) -> list[tuple[str, DataFrame]]:
+    """The vectors as chunks of two stores, by label."""
+    v = table(spark, d, "embeddings")
+    mid = F.when(F.col("label") % 4 == 0, "IEF450E").when(F.col("label") % 4 == 1, "IEC030A").when(F.col("label") % 4 == 2, "ICH408W").otherwise("X")
+    empty = {c: F.lit("") for c in ("snippet", "full_text", "severity", "jobname", "sysname", "ts_start", "ts_end", "julian_date")}
+    chunks = v.select(F.col("vec_id").alias("id"), "embedding", "label", mid.alias("msgid"), F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("filename"))
+    chunks = chunks.withColumns({**empty, "source_type": F.lit("ibm_doc"), "msg_count": F.lit(0)})
+    return [("", chunks.where("label < 5").drop("label")), ("ibm_doc", chunks.where("label >= 5").drop("label"))]
+
+
+_FROM_Q = f"list_distance(e, (SELECT e FROM v WHERE vec_id = {_Q}))"
+
+
+@query(f"""
+WITH {_VSTORE},
+kw AS (SELECT *, row_number() OVER (ORDER BY store, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY vec_id) AS p FROM v WHERE mid = 'IEF450E' QUALIFY p <= CASE store WHEN 0 THEN 10 ELSE 5 END)),
+se AS (SELECT *, row_number() OVER (ORDER BY store, p) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY {_FROM_Q}, vec_id) AS p FROM v QUALIFY p <= CASE store WHEN 0 THEN 10 ELSE 5 END)),
+al AS (SELECT vec_id, store, rank, 0 AS l FROM kw UNION ALL SELECT vec_id, store, rank, 1 FROM se),
+sc AS (SELECT vec_id, store, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + rank) AS seen FROM al GROUP BY ALL)
+SELECT vec_id AS rowid, CASE store WHEN 0 THEN '' ELSE 'ibm_doc' END AS store_tag, round(score, 9) AS score,
+       CAST(row_number() OVER (ORDER BY round(score, 12) DESC, seen, store, vec_id) AS INT) AS rank FROM sc QUALIFY rank <= 5""")
+def search_hybrid_two_stores(spark, d):
+    """A query with an id and words over two stores: both lists of both stores, fused."""
+    (_, main), (_, knowledge) = _vector_stores(spark, d)
+    out = search("MSGID:IEF450E job abended", main, knowledge, vector=knn.vector_of(table(spark, d, "embeddings"), _Q, "vec_id"))
+    return out.select("rowid", "store_tag", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_VSTORE}
+SELECT vec_id AS rowid, CASE store WHEN 0 THEN '' ELSE 'ibm_doc' END AS store_tag, CAST(row_number() OVER (ORDER BY {_FROM_Q}, store, vec_id) AS INT) AS rank FROM v QUALIFY rank <= 5""")
+def search_semantic_two_stores(spark, d):
+    (_, main), (_, knowledge) = _vector_stores(spark, d)
+    out = search("why did the job end", main, knowledge, vector=knn.vector_of(table(spark, d, "embeddings"), _Q, "vec_id"))
+    return out.select("rowid", "store_tag", "rank")
+
+
+_ENRICHED = f"""
+{MESSAGES_SQL}, u AS (SELECT msgid, min(seq) AS seq, count(*) AS count FROM msg WHERE {_INTERESTING} GROUP BY msgid), {_VSTORE},
+q AS (SELECT msgid, e AS qe FROM u JOIN v ON vec_id = seq % 400),
+kw AS (SELECT msgid, vec_id, store, row_number() OVER (PARTITION BY msgid ORDER BY store, vec_id) AS rank FROM (SELECT msgid, vec_id, store, row_number() OVER (PARTITION BY msgid, store ORDER BY vec_id) AS p FROM q JOIN v ON mid = msgid QUALIFY p <= 5)),
+se AS (SELECT msgid, vec_id, store, row_number() OVER (PARTITION BY msgid ORDER BY store, p) AS rank FROM (SELECT msgid, vec_id, store, row_number() OVER (PARTITION BY msgid, store ORDER BY list_distance(e, qe), vec_id) AS p FROM q, v QUALIFY p <= 5)),
+al AS (SELECT *, 0 AS l FROM kw UNION ALL SELECT *, 1 FROM se),
+sc AS (SELECT msgid, vec_id, store, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + rank) AS seen, min(l) AS lo, max(l) AS hi FROM al GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY msgid ORDER BY round(score, 12) DESC, seen, store, vec_id) AS rank, min(lo) OVER (PARTITION BY msgid) = 0 AND max(hi) OVER (PARTITION BY msgid) = 1 AS fused FROM sc)"""
+
+
+def _enriched(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Unique messages, and their context from two stores."""
+    v = table(spark, d, "embeddings")
+    unique = console.first_by_msgid(filters.interesting(messages(spark, d)))
+    asked = unique.join(v.select(F.col("vec_id").alias("__v"), F.col("embedding").alias("qvec")), F.col("__v") == F.col("seq") % 400)
+    return unique, console.enrich(asked.select("msgid", "qvec"), _vector_stores(spark, d), 5)
+
+
+@query(f"""WITH {_ENRICHED}
+SELECT msgid, vec_id AS rowid, CASE store WHEN 0 THEN '' ELSE 'ibm_doc' END AS store_tag, CAST(rank AS INT) AS rank FROM pl WHERE NOT fused OR rank <= 5""")
+def enrich_two_stores(spark, d):
+    return _enriched(spark, d)[1].select("msgid", "rowid", "store_tag", "rank")
+
+
+@query(f"""WITH {_ENRICHED}
+SELECT msgid, count, 'f' || vec_id AS filename, CAST(rank - 1 AS INT) AS place FROM pl JOIN u USING (msgid) WHERE NOT fused OR rank <= 5""")
+def enriched_json_output(spark, d):
+    """Enriched messages through their JSON form and back."""
+    out = render.enriched_json(*_enriched(spark, d)).withColumn("o", F.from_json("json", "msgid string, count long, context array<struct<filename:string>>"))
+    return out.select("o.msgid", "o.count", F.posexplode("o.context").alias("place", "c")).select("msgid", "count", "c.filename", "place")
+
+
+@query(f"""
+WITH {MESSAGES_SQL}, {_GROUPS}
+SELECT msgid, tier, count, sample_text, string_split(sysnames, ',') AS sysnames, (SELECT count(*) FROM msg) AS total, CAST((SELECT sum(count) FROM grp) AS BIGINT) AS interesting FROM grp""")
+def summary_json_output(spark, d):
+    """A summary through its JSON form and back."""
+    m = messages(spark, d)
+    some = filters.interesting(m)
+    groups = console.groups(some).withColumns({"history_count": F.lit(-1), "history_days": F.lit(0)})
+    doc = spark.createDataFrame([(render.summary_json(m.count(), some.count(), groups),)], "json string")
+    kind = "total_messages long, interesting_messages long, groups array<struct<msgid:string,tier:string,count:long,sample_text:string,sysnames:array<string>>>"
+    o = doc.select(F.from_json("json", kind).alias("o")).select("o.total_messages", "o.interesting_messages", F.explode("o.groups").alias("g"))
+    return o.select("g.*", F.col("total_messages").alias("total"), F.col("interesting_messages").alias("interesting"))
+
+
+@query(f"""
+WITH {MESSAGES_SQL}, {_GROUPS}, j AS (SELECT msgid, string_split(jobnames, ',') AS js FROM grp)
+SELECT msgid, array_to_string(js[1:4], ', ') || CASE WHEN len(js) > 4 THEN ', ...' ELSE '' END AS jobs FROM j""")
+def summary_job_lists(spark, d):
+    return console.groups(filters.interesting(messages(spark, d))).select("msgid", tx.join_some(F.col("jobnames")).alias("jobs"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') || chr(9) || '\n' || chr(13) || chr(10) AS x FROM documents)
+SELECT doc_id, replace(replace(replace(x, '\', '\\'), chr(9), '\t'), chr(10), '\n') AS escaped, regexp_replace(replace(x, chr(13), ''), '[\x00-\x1F]', ' ', 'g') AS line, true AS same FROM t""")
+def text_escapes(spark, d):
+    """Cache and one-line JSON forms of texts with tabs, backslashes and line ends."""
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\t\\n\r\n")).alias("x"))
+    escaped = tx.cache_escape(F.col("x"))
+    return t.select("doc_id", escaped.alias("escaped"), tx.one_line(F.col("x")).alias("line"), (tx.cache_unescape(escaped) == F.col("x")).alias("same"))
+
+
+# ---- the query language ----------------------------------------------------------------------------------
+
+#: query, mode, text, msgid, job, system, severity, type, text pattern
+_CLASSIFIED = [
+    ("IEF450I", "keyword", "", "IEF450I", "", "", "", "", ""),
+    ("DFH*", "keyword", "", "DFH*", "", "", "", "", ""),
+    ("JOB:PAYROLL", "keyword", "", "", "PAYROLL", "", "", "", ""),
+    ("sev:e", "keyword", "", "", "", "", "E", "", ""),
+    ("MSGID:IEF* JOB:PAY* abend", "hybrid", "abend", "IEF*", "PAY*", "", "", "", ""),
+    ("TYPE:operlog reboot", "hybrid", "reboot", "", "", "", "", "operlog", ""),
+    ("SYS:", "keyword", "", "", "", "", "", "", ""),
+    ("IEC030I data management error", "hybrid", "data management error", "IEC030I", "", "", "", "", ""),
+    ("DFH* storage", "hybrid", "storage", "DFH*", "", "", "", "", ""),
+    ("S0C7", "hybrid", "S0C7", "", "", "", "", "", "S0C7"),
+    ("DB2", "keyword", "", "DB2", "", "", "", "", ""),
+    ("storage shortage during batch", "semantic", "storage shortage during batch", "", "", "", "", "", ""),
+    ("17:30 JOB:X", "semantic", "17:30 JOB:X", "", "", "", "", "", ""),
+]
+_PARSED = ["query", "mode", "text", "msgid", "jobname", "sysname", "severity", "source_type", "pattern"]
+
+
+def _parsed(spark, found) -> DataFrame:
+    rows = [(q, p.mode, p.text, k.msgid, k.jobname, k.sysname, k.severity, k.source_type, k.text) for q, p in found for k in [p.keyword]]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in _PARSED))
+
+
+@query(f"SELECT * FROM (VALUES {_values(_CLASSIFIED)}) AS v({', '.join(_PARSED)})")
+def query_classification(spark, d):
+    return _parsed(spark, [(q, parse_query(q)) for q, *_ in _CLASSIFIED])
+
+
+_OVERLAID = [
+    ("storage shortage", "hybrid", "storage shortage", "", "PAY*", "", "", "", ""),
+    ("IEF450I", "keyword", "", "IEF450I", "PAY*", "", "", "", ""),
+    ("MSGID:IEF* JOB:X abend", "hybrid", "abend", "IEF*", "PAY*", "", "", "", ""),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values(_OVERLAID)}) AS v({', '.join(_PARSED)})")
+def option_overlay(spark, d):
+    """An explicit job over what the query says."""
+    return _parsed(spark, [(q, overlay(parse_query(q), Options(job="PAY*"))) for q, *_ in _OVERLAID])

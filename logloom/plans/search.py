@@ -66,10 +66,11 @@ def search(query: str, chunks: DataFrame, knowledge: DataFrame | None = None, op
     position = F.row_number().over(Window.orderBy("__store", "__place"))
     kw, sem = kw.withColumn("rank", position), sem.withColumn("rank", position)
     keys = ["store_tag", "rowid"]
-    best = fuse([kw, sem], keys, k=o.k)
+    # One query: fuse's own order (score, then first list and place there) gives the ranks of at most 6k rows.
+    best = fuse([x.withColumn("__q", F.lit(0)) for x in (kw, sem)], keys, k=o.k, by=["__q"]).drop("__q")
     every = sem.unionByName(kw).groupBy(*keys).agg(F.max("distance").alias("distance"), *[F.first(c).alias(c) for c in META])
     out = best.join(F.broadcast(every), keys)  # both sides hold at most 6k rows
-    return _numbered(out, [F.round("score", 12).desc(), "store_tag", "rowid"])
+    return out.orderBy("rank")
 
 
 def _numbered(out: DataFrame, order: list) -> DataFrame:

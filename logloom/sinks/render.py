@@ -126,6 +126,11 @@ class Metrics:
         return json.dumps(self.values)
 
 
+def write_manuals(manuals: DataFrame, path: str) -> None:
+    """Cleaned manuals (file, content) as text files, a folder for each manual."""
+    manuals.select("file", F.regexp_replace("content", r"\n\z", "").alias("content")).write.partitionBy("file").text(path)
+
+
 CACHE = T.StructType([T.StructField(n, t) for n, t in (
     ("stamp", T.LongType()), ("key", T.StringType()), ("distance", T.FloatType()), ("source_type", T.StringType()), ("filename", T.StringType()),
     ("snippet", T.StringType()), ("store_tag", T.StringType()), ("ts_start", T.StringType()), ("msgid", T.StringType()))])

@@ -36,15 +36,17 @@ class ChunkStore:
         versions = self._versions()
         if not versions:
             return self.spark.createDataFrame([], CHUNKS)
-        raw = self.spark.read.option("mergeSchema", True).parquet(self._at(versions[-1]))
-        empty = F.lit("__HIVE_DEFAULT_PARTITION__")
-        for c in PARTITIONS:
-            raw = raw.withColumn(c, F.coalesce(F.nullif(F.col(c).cast("string"), empty), F.lit("")))
-        return conform(raw)
+        # A given schema keeps partition values as they were written: a date is text, not a number.
+        return conform(self.spark.read.schema(CHUNKS).parquet(self._at(versions[-1])))
 
     def count(self) -> int:
         return self.read().count()
 
+    def totals(self) -> dict[str, int]:
+        """Chunks stored and the messages in them."""
+        r = self.read().agg(F.count("*").alias("chunks"), F.coalesce(F.sum("msg_count"), F.lit(0)).alias("messages")).first()
+        return r.asDict()
+
     def append(self, chunks: DataFrame) -> None:
         """Add chunks; ids continue after the largest one unless given."""
         versions = self._versions()

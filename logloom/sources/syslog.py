@@ -14,6 +14,7 @@ from ..functions import text as tx
 
 LINE = r"(?s)\A[NMXC][ 0-9a-fA-Z]?+[0-9a-fA-Z]*+ *+([^ ]*+) *+([0-9]*+) *+(..:..:.{5})?+ *+([^ ]*+) *+[0-9a-fA-F]*+ *+(.*)\z"
 CONTAINER = "data map<string,struct<content:string,content_length:long>>, system_logs int"
+SPLIT_LINE = ("_metadata.file_path AS stream", "_metadata.file_block_start AS split", "value AS line")
 MIN_LINE = 10
 PART = 1 << 20
 
@@ -31,17 +32,21 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A line's number is its split's byte offset plus its place in the split.  As every line has
     a byte at least, numbers rise through the file and never repeat.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")
-    )
+    return numbered(spark.read.text(path).selectExpr(*SPLIT_LINE))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their file and split (SPLIT_LINE), straight from a scan, to (stream, line_no, line)."""
+    raw = lines.withColumn("row", F.monotonically_increasing_id())
     place = F.row_number().over(Window.partitionBy("stream", "split").orderBy("row"))
     return raw.select("stream", (F.col("split") + place - 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def json_lines(documents: DataFrame, content: str = "value") -> DataFrame:
-    """Lines of collected logs wrapped in JSON: each system's content is a stream."""
-    data = documents.select(F.explode(F.from_json(content, CONTAINER)["data"]).alias("stream", "log"))
-    return lines_of(data, "log.content", F.col("stream"))
+def json_lines(documents: DataFrame, content: str = "value", within: Column | None = None) -> DataFrame:
+    """Lines of collected logs wrapped in JSON: each system's content is a stream (of its document, if ``within`` names it)."""
+    within = F.lit("") if within is None else F.concat(within, F.lit("#"))
+    data = documents.select(within.alias("within"), F.explode(F.from_json(content, CONTAINER)["data"]).alias("system", "log"))
+    return lines_of(data, "log.content", F.concat("within", "system"))
 
 
 def bare(messages: DataFrame, text: str = "value") -> DataFrame:

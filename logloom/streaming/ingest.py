@@ -13,23 +13,32 @@ from ..sources.store import ChunkStore
 
 
 def log_files(spark: SparkSession, directory: str, max_files: int = 100) -> DataFrame:
-    """New log files as whole texts (value, stream)."""
+    """New log files as lines with their file and split; a file of any size is read in splits."""
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(directory)
+    return raw.selectExpr(*syslog.SPLIT_LINE)
+
+
+def json_files(spark: SparkSession, directory: str, max_files: int = 100) -> DataFrame:
+    """New files of collected logs wrapped in JSON, one document (value, stream) each."""
     raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(directory)
     return raw.withColumn("stream", F.col("_metadata.file_path"))
 
 
 def ingest(files: DataFrame, store: ChunkStore, checkpoint: str, minutes: int = chunking.WINDOW_MINUTES, max_messages: int = chunking.MAX_MESSAGES, skip: filters.SkipList = filters.DEFAULT, interval: str | None = None, embedder=None) -> StreamingQuery:
-    """Each micro-batch: parse, drop skipped ids, cut into window chunks, append those beyond the marks.
+    """Each micro-batch: parse, drop skipped ids, cut what lies beyond the marks into window chunks, append them.
 
-    Count-bounded windows have no streaming aggregate, so every batch runs the batch operator.
-    With interval None the query takes all that is there and stops.
+    files: of ``log_files`` or ``json_files``.  Count-bounded windows have no streaming aggregate, so
+    every batch runs the batch operator.  A file comes only once, so its last window is stored as far
+    as it goes; what a later file adds to that window is a chunk of its own.  A batch that is run
+    again after a failure finds its messages below the marks.  With interval None the query takes
+    all that is there and stops.
     """
     from ..operators.embed import embed
 
     def batch(df: DataFrame, _: int) -> None:
-        messages = syslog.parse(syslog.lines_of(df, stream=F.col("stream")))
-        chunks = chunking.window_chunks(filters.drop_skipped(messages, skip), minutes, max_messages, keys=("stream", "sysname", "julian_date"))
-        fresh = incremental.beyond(chunks, incremental.high_water(store.read()))
+        lines = syslog.numbered(df) if "split" in df.columns else syslog.json_lines(df, within=F.col("stream"))
+        messages = incremental.unseen(filters.drop_skipped(syslog.parse(lines), skip), incremental.high_water(store.read()))
+        fresh = chunking.window_chunks(messages, minutes, max_messages, keys=("stream", "sysname", "julian_date"))
         if embedder is not None:
             fresh = fresh.withColumn("embedding", embed(F.col("full_text"), embedder))
         store.append(fresh.drop("seq"))

@@ -1,6 +1,8 @@
 """The library does not depend on the optional training-data operators."""
 
 import ast
+import subprocess
+import sys
 from pathlib import Path
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -20,6 +22,11 @@ def test_nothing_outside_imports_the_optional_operators():
             assert not any("llm" in x.split(".") for x in imports(path)), path
 
 
+def test_core_queries_live_without_a_package_of_the_optional_operators():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_entry_lists_sql_only_for_its_queries():
     import __spark_entry__ as e
 

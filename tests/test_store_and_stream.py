@@ -174,7 +174,9 @@ def test_index_summarize_enrich(spark, tmp_path):
     lines = ["N 4000000 SYS1 2026087 17:3{}:00.00 JOB00001 00000090  {}".format(i, t) for i, t in enumerate(["IEF450I FAILED", "IEC030A NO SPACE", "IEF285I SKIPPED", "IEF450I FAILED"])]
     m = syslog.parse(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream string, line_no long, line string"))
     api.ingest(m, store)
-    api.ingest(m, store)
+    assert store.read().where("source_type = 'operlog'").count() == 0  # its only window may still grow
+    for _ in range(2):
+        api.ingest(m, store, complete=True)
     assert [r["msg_count"] for r in store.read().where("source_type = 'operlog'").collect()] == [3]
     s = {r["msgid"]: r for r in api.summarize(m, store.read()).collect()}
     assert (s["IEC030A"]["tier"], s["IEC030A"]["history_count"], s["IEF450I"]["count"]) == ("critical", 1, 2)
@@ -190,6 +192,89 @@ def test_index_summarize_enrich(spark, tmp_path):
     assert "a.txt" in hits[0]["filename"]
 
 
+def _log(spark, minutes, date="2026087"):
+    lines = [f"N 4000000 SYS1 {date} 17:{m:02d}:00.00 JOB00001 00000090  IEF450I FAILED {m}" for m in minutes]
+    return syslog.parse(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream string, line_no long, line string"))
+
+
+def test_ingest_of_a_window_that_grows(spark, tmp_path):
+    from logloom.plans import api
+
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    metrics = render.Metrics()
+    api.ingest(_log(spark, [0, 2]), store, metrics=metrics)
+    api.ingest(_log(spark, [0, 2, 3, 6]), store, metrics=metrics)
+    api.ingest(_log(spark, [0, 2, 3, 6, 7]), store, complete=True, metrics=metrics)
+    api.ingest(_log(spark, [0, 2, 3, 6, 7, 8]), store, complete=True)
+    got = sorted((r["ts_start"], r["ts_end"], r["msg_count"]) for r in store.read().collect())
+    assert got == [("17:00:00.00", "17:03:00.00", 3), ("17:06:00.00", "17:07:00.00", 2), ("17:08:00.00", "17:08:00.00", 1)]
+    assert (metrics.values["chunks"], metrics.values["messages"]) == (2, 5) and metrics.values["ingest_ms"] > 0
+
+
+def test_short_dates_keep_their_zeros_and_compare_with_long_ones(spark, tmp_path):
+    from logloom.plans import api
+
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    api.ingest(_log(spark, [0], "05012"), store, complete=True)
+    assert [r["julian_date"] for r in store.read().collect()] == ["05012"]
+    assert store.read().where("julian_date = '05012'").count() == 1
+    api.ingest(_log(spark, [0, 1], "2005012"), store, complete=True)
+    assert sorted((r["julian_date"], r["msg_count"]) for r in store.read().collect()) == [("05012", 1), ("2005012", 1)]
+
+
+def test_store_reads_one_day_only(spark, tmp_path):
+    from logloom.plans import api
+
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    for date in ("2026087", "2026088"):
+        api.ingest(_log(spark, [0], date), store, complete=True)
+    plan = keyword.timeline(store.read(), "2026088", "17:00").select("rowid")._jdf.queryExecution().executedPlan().toString()
+    assert "2026088" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "embedding" not in plan
+
+
+def test_hybrid_ties_go_to_the_keyword_list(spark):
+    v = spark.createDataFrame([(i, "ABC001E" if i in (30, 31) else "", [1.0, float(i)]) for i in (1, 2, 30, 31)], "id long, msgid string, embedding array<float>")
+    empty = ("filename", "snippet", "full_text", "severity", "jobname", "sysname", "ts_start", "ts_end", "julian_date")
+    c = v.withColumns({**{x: F.lit("") for x in empty}, "source_type": F.lit("operlog"), "msg_count": F.lit(1)})
+    out = search("MSGID:ABC001E words", c, options=Options(k=4), vector=[1.0, 0.0]).collect()
+    # keyword: 30, 31; semantic: 1, 2, 30, 31
+    assert [r["rowid"] for r in out] == [30, 31, 1, 2] and [r["rank"] for r in out] == [1, 2, 3, 4]
+    few = search("MSGID:ABC001E words", c.where("id < 31"), options=Options(k=4), vector=[1.0, 30.0]).collect()
+    assert [r["rowid"] for r in few] == [30, 2, 1]
+    tied = search("MSGID:ABC001E words", c.where("id IN (1, 30)"), options=Options(k=1), vector=[1.0, 0.0]).collect()
+    assert [r["rowid"] for r in tied] == [30]
+
+
+def test_absent_and_odd_files(spark, tmp_path):
+    (tmp_path / "a[1].txt").write_text("x")
+    with pytest.warns(UserWarning, match="no such file"):
+        got = files.read_files(spark, [str(tmp_path / "a[1].txt"), str(tmp_path / "none.txt")]).collect()
+    assert [r["content"] for r in got] == ["x"]
+    plan = files.scan(spark, str(tmp_path)).select("filename", "mtime")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+
+
+def test_streaming_json(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = "N 4000000 {} 2026087 17:00:00.00 JOB00001 00000090  IEF450I FAILED"
+    for n, s in enumerate(("SYS1", "SYS2")):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"data": {s: {"content": line.format(s), "content_length": 9}}, "system_logs": 1}))
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    ingest.ingest(ingest.json_files(spark, str(tmp_path / "in")), store, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["sysname"] for r in store.read().collect()) == ["SYS1", "SYS2"]
+
+
+def test_pooled_embedder(spark):
+    model = lambda tokens: np.array([[t, 1.0] for t in tokens])
+    e = embed.PooledEmbedder(lambda t: [len(w) for w in t.split()], model, 2, n_ctx=3, prefix="x ")
+    assert e.encode(["aaa bbbbb c", ""]).tolist() == [pytest.approx([3 / np.sqrt(10), 1 / np.sqrt(10)]), pytest.approx([np.sqrt(0.5)] * 2)]
+    e = embed.PooledEmbedder(lambda t: [len(w) for w in t.split()], model, 2, pooling="last")
+    got = spark.createDataFrame([("a bb",), (None,)], "t string").select(embed.embed(F.col("t"), e).alias("v")).collect()
+    assert list(got[0]["v"]) == pytest.approx([2 / np.sqrt(5), 1 / np.sqrt(5)]) and list(got[1]["v"]) == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        embed.PooledEmbedder(str.split, model, 2, pooling="max")
+
+
 def test_convert_vectors(spark):
     from logloom.plans import api
 
