@@ -72,8 +72,8 @@ def token_windows(n_tokens: Column, budget: int, step: int) -> Column:
     )
 
 
-def document_chunks(documents: DataFrame, id_col: str = "filename", text_col: str = "content", chunk_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, prefix_tokens: int = 0, n_tokens: Column | None = None) -> DataFrame:
-    """Overlapping windows of each document's tokens, mapped to characters in proportion.
+def document_chunks(documents: DataFrame, id_col: str = "filename", text_col: str = "content", chunk_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, prefix_tokens: int = 0, n_tokens: Column | None = None, with_text: bool = True) -> DataFrame:
+    """Overlapping windows of each document's tokens, mapped to characters in proportion, with or without their text.
 
     n_tokens: a token count by the embedder; words, if none is given.  Documents without a
     token give no chunk.
@@ -82,18 +82,19 @@ def document_chunks(documents: DataFrame, id_col: str = "filename", text_col: st
     text = F.col(text_col)
     count = F.size(F.split(tx.trim(text), r"\s+")) if n_tokens is None else n_tokens
     docs = documents.where(F.length(tx.trim(text)) > 0).select(id_col, text.alias("__text"), count.cast("int").alias("n_tokens"))
-    size = F.length("__text").cast("long")
+    docs = docs.withColumn("__size", F.length("__text").cast("long"))
+    size = F.col("__size")
     at = lambda c: F.least((c.cast("long") * size / F.col("n_tokens")).cast("long"), size)
 
     def cut(w: Column) -> Column:
         a, b = at(w["start"]), at(w["end"])
-        part = F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int"))
-        return F.struct(w["chunk_no"].alias("chunk_no"), w["start"].alias("token_start"), w["end"].alias("token_end"), a.alias("char_start"), b.alias("char_end"), part.alias("full_text"))
+        part = [F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int")).alias("full_text")] if with_text else []
+        return F.struct(w["chunk_no"].alias("chunk_no"), w["start"].alias("token_start"), w["end"].alias("token_end"), a.alias("char_start"), b.alias("char_end"), *part)
 
     # Pieces are cut before the rows are made, so no row carries the whole text.
     pieces = F.transform(token_windows(F.col("n_tokens"), budget, step), cut)
     out = docs.select(id_col, "n_tokens", F.explode(pieces).alias("w")).select(id_col, "n_tokens", "w.*")
-    return out.withColumn("snippet", tx.snippet(F.col("full_text"), SNIPPET_CHARS))
+    return out.withColumn("snippet", tx.snippet(F.col("full_text"), SNIPPET_CHARS)) if with_text else out
 
 
 def manual_entries(files: DataFrame, id_col: str = "filename", text_col: str = "content") -> DataFrame:

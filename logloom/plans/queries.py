@@ -392,13 +392,13 @@ w AS (SELECT doc_id, text, n, unnest(range(0, CAST(CASE WHEN n <= 64 THEN 0 ELSE
 win AS (SELECT doc_id, text, n, CAST(i + 1 AS INT) AS chunk_no, CAST(i * 48 AS INT) AS token_start, CAST(least(i * 48 + 64, n) AS INT) AS token_end FROM w)"""
 
 
-def _doc_chunks(spark, d) -> DataFrame:
-    return chunking.document_chunks(table(spark, d, "documents"), "doc_id", "text", 64, 16)
+def _doc_chunks(spark, d, with_text: bool = True) -> DataFrame:
+    return chunking.document_chunks(table(spark, d, "documents"), "doc_id", "text", 64, 16, with_text=with_text)
 
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, CAST(n AS INT) AS n_tokens, chunk_no, token_start, token_end FROM win")
 def doc_chunk_windows(spark, d):
-    return _doc_chunks(spark, d).select("doc_id", "n_tokens", "chunk_no", "token_start", "token_end")
+    return _doc_chunks(spark, d, False).select("doc_id", "n_tokens", "chunk_no", "token_start", "token_end")
 
 
 @query(f"""
