@@ -32,6 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         ab = a.join(least, a.b == least.u).select("a", F.col("to").alias("b"))
         edges = written(ab.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         discard(*old)
+    if labels is not None:
+        discard(edges)
     if labels is None:
         return edges.toDF("node", "component")
     return labels

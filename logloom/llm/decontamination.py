@@ -11,17 +11,20 @@ whole shorter item.  Patterns of one length m form one matcher:
 * each listed pattern is compared word by word before it counts.
 
 A document is searched whole and in place, so nothing is shuffled but one row of hits for each
-document.  Patterns are split into blocks of items of at most ``block_bytes`` of text; each
-block is one bounded closure and one narrow pass that carries the hits found so far.
+document.  Patterns are split into blocks of items of about ``block_bytes`` of text (2 MB make
+tables of some 200 MB); each block is one bounded closure and one narrow pass that carries the hits
+found so far.  A Python worker builds a block's tables once and keeps them for its later tasks.
 
 Defined results: a null or empty text has no words and no hits; items without words have no
-window; two items with the same window both count; repeated document rows are judged one by
-one; columns other than the id and the text are not read by ``judge``.
+window; two items with the same window both count; an item without an id hits words but is no item
+of n_items and the ids; rows that share an item id are one item; repeated document rows are judged
+one by one; very long texts are searched whole; an empty table gives an empty result; columns other
+than the id and the text are not read by ``judge`` and pass ``keep_clean`` unchanged.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, unused
 from .wordhash import LOWER
 
-WINDOW = 10
+WINDOW, BLOCK_BYTES = 10, 2 << 20
 _TO_WORD = bytearray(LOWER)
 for _c in range(128):
     if not (48 <= _c <= 57 or 65 <= _c <= 90 or 97 <= _c <= 122):
@@ -88,6 +91,18 @@ def compile_items(items: Iterable[tuple[int, str | None]], window: int = WINDOW)
     return [WuManber(m, p) for m, p in sorted(by_length.items())]
 
 
+_built: dict[str, list[WuManber]] = {}
+
+
+def _matchers(key: str, block: list[tuple[int, str | None]], window: int) -> list[WuManber]:
+    """The tables of a block, built once in each worker; it keeps those of the last few blocks."""
+    if key not in _built:
+        while len(_built) >= 2:
+            del _built[next(iter(_built))]
+        _built[key] = compile_items(block, window)
+    return _built[key]
+
+
 def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
     """Items in groups of about block_bytes of text, one group at the driver at a time."""
     total = items.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -99,13 +114,14 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: in
 
 
 def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """docs with __hit (each occurrence's start and length, int32 pairs) and __items (item ids found)."""
-    out = docs.withColumns({"__hit": F.lit(b"").cast("binary"), "__items": F.array().cast("array<string>")})
+    """docs with a column of hits (each occurrence's start and length, int32 pairs) and one of the item ids found."""
+    hit, found = _marks(docs)
+    out = docs.withColumns({hit: F.lit(b"").cast("binary"), found: F.array().cast("array<string>")})
     schema, at = out.schema, out.columns.index(text_col)
     for block in _item_blocks(items, item_col, item_text_col, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matchers = compile_items(block, window)
+        def run(batches: Iterator[pa.RecordBatch], key=uuid.uuid4().hex, block=block) -> Iterator[pa.RecordBatch]:
+            matchers = _matchers(key, block, window)
             for b in batches:
                 spans, found = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
                 for i, text in enumerate(b.column(at)):
@@ -118,7 +134,7 @@ def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_
                             seen.update(dict.fromkeys(ids))
                     if hit:
                         spans[i] += np.array(hit, np.int32).tobytes()
-                        found[i] = [*found[i], *(str(x) for x in seen)]
+                        found[i] = [*found[i], *(str(x) for x in seen if x is not None)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
@@ -134,7 +150,7 @@ def _covered(spans: bytes, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: id, n_words, n_hit, n_items, items (sorted as strings), hit_spans (start, length in words), contaminated."""
     found = _hits(docs.select(id_col, text_col), items, text_col, item_col, item_text_col, window, block_bytes)
 
@@ -158,14 +174,15 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return found.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, hit_spans array<struct<start:int,words:int>>, contaminated boolean")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows without any occurrence, all columns unchanged."""
     found = _hits(docs, items, text_col, item_col, item_text_col, window, block_bytes)
-    return found.where(F.octet_length("__hit") == 0).drop("__hit", "__items")
+    hit, items_found = _marks(docs)
+    return found.where(F.octet_length(hit) == 0).drop(hit, items_found)
 
 
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
+def _marks(docs: DataFrame) -> tuple[str, str]:
+    return unused(docs.columns, "__hit"), unused(docs.columns, "__items")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +208,7 @@ win AS (
   FROM d, ms, unnest(range(1, len(w) - m + 2)) AS u(i) WHERE len(w) >= m),
 hit AS (SELECT doc_id, win.m, i, item_id FROM win JOIN pat ON win.m = pat.m AND win.g = pat.g),
 cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, m, i FROM hit), unnest(range(i, i + m)) AS u(k) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)"""

@@ -4,8 +4,8 @@ A text is cut at line ends, and a line after each sentence end (ideographic ones
 into units.  Units are
 normalised (case folded, blanks collapsed) and digested with 128 bits.  Digests are grouped
 globally; of each group the earliest occurrence, by (document id, offset), stays.  The others
-are repeated units.  A line whose units are all repeated goes whatever its length.  Within other
-lines every run of neighbouring repeated units with ``min_words`` words or more is removed.  So a
+are repeated units.  A line whose units are all repeated goes whatever its length (or from
+``min_line_words`` on).  Within other lines every run of neighbouring repeated units with ``min_words`` words or more is removed.  So a
 repeated line or paragraph goes, and a long one also where it was pasted into a longer line,
 while a short phrase inside a line of its own stays.  Units of fewer than ``min_unit_words``
 words only go inside a run or with their line, never at a run's ends.  For both limits a unit has
@@ -18,7 +18,9 @@ share is one entry for each block.  The texts move once, to meet their documents
 
 Defined results: null and empty texts stay as they are; rows with a null id stay as they are and
 take no part; rows that share an id are one document given repeatedly and get the same
-decisions; a text may become empty but its row stays; columns besides the text are unchanged.
+decisions; a text may become empty but its row stays; very long texts are cut up whole; an empty
+table gives an empty result; columns besides the text are unchanged, whatever their names, but with
+spans a column ``removed`` of the input gives way to the spans.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack, tidy, tidy_batches, unpack
-from .tables import n_partitions, table
+from .tables import n_partitions, table, unused
 from .wordhash import U64, mix, slices
 
 MIN_WORDS, MIN_UNIT_WORDS = 25, 4
@@ -57,10 +59,13 @@ def units(text: str) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def runs(found: list[tuple], repeated: set[int], min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the spans to remove, ascending; repeated: numbers of the units found elsewhere before."""
+def runs(found: list[tuple], repeated: set[int], min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS, min_line_words: int = 0) -> list[tuple[int, int, int, int]]:
+    """(start, end, words, size) of the spans to remove, ascending; repeated: numbers of the units found elsewhere before."""
     kept = {u[4] for k, u in enumerate(found) if k not in repeated}
-    gone, i = {k for k, u in enumerate(found) if u[4] not in kept}, 0
+    size: dict[int, int] = {}
+    for u in found:
+        size[u[4]] = size.get(u[4], 0) + u[5]
+    gone, i = {k for k, u in enumerate(found) if u[4] not in kept and size[u[4]] >= min_line_words}, 0
     while i < len(found):
         if i not in repeated:
             i += 1
@@ -77,12 +82,13 @@ def runs(found: list[tuple], repeated: set[int], min_words: int = MIN_WORDS, min
         if sum(u[5] for u in found[a:b]) >= min_words:
             gone.update(range(a, b))
         i = j
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     for k in sorted(gone):
-        start, end, words = found[k][:3]
+        start, end, words, size_ = *found[k][:3], found[k][5]
         if k - 1 in gone:
-            start, words = out[-1][0], words + out.pop()[2]
-        out.append((start, end, words))
+            before = out.pop()
+            start, words, size_ = before[0], before[2] + words, before[3] + size_
+        out.append((start, end, words, size_))
     return out
 
 
@@ -189,29 +195,34 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return sent.groupBy("home").applyInArrow(tidy(_per_document), "__id long, __repeated binary")
 
 
-def _removed(text: str | None, repeated: bytes | None, how: tuple[int, int]) -> list[tuple[int, int, int]]:
+def _removed(text: str | None, repeated: bytes | None, how: tuple[int, int, int]) -> list[tuple[int, int, int, int]]:
     if not text or not repeated:
         return []
     return runs(units(text), set(np.frombuffer(repeated, np.int32).tolist()), *how)
 
 
-def _without(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+def _without(text: str | None, spans: list[tuple[int, int, int, int]]) -> str | None:
     out, at = [], 0
-    for start, end, _ in spans:
+    for start, end, *_ in spans:
         out.append(text[at:start])
         at = end
     return "".join(out) + text[at:] if spans else text
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS, spans: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS, min_line_words: int = 0, spans: bool = True) -> DataFrame:
     """docs with the repeated passages taken out of the text.
 
-    With spans, also removed (array of start, end in characters of the original text, and words).
+    With spans, also removed (array of start, end in characters of the original text, words, and
+    size: words, or characters by WORD_CHARS where that is more).
     """
     found = repeated_units(docs, id_col, text_col)
-    both = docs.withColumn("__id", F.col(id_col).cast("long")).join(found, "__id", "left").drop("__id")
-    at, how = docs.columns.index(text_col), (min_words, min_unit_words)
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
+    if spans:
+        docs = docs.drop("removed")
+    key, mark = unused(docs.columns, "__id"), unused(docs.columns, "__repeated")
+    both = docs.withColumn(key, F.col(id_col).cast("long")).join(found.toDF(key, mark), key, "left").drop(key)
+    at, how = docs.columns.index(text_col), (min_words, min_unit_words, min_line_words)
+    fields = ("start", "end", "words", "size")
+    span = pa.struct([(x, pa.int32()) for x in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for batch in batches for p in slices(batch, text_col)):
@@ -223,20 +234,69 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             columns[at] = pa.array(texts, pa.string())
             names = b.schema.names[:-1]
             if spans:
-                columns.append(pa.array([[dict(zip(("start", "end", "words"), x)) for x in g] for g in gone], pa.list_(span)))
+                columns.append(pa.array([[dict(zip(fields, x)) for x in g] for g in gone], pa.list_(span)))
                 names = [*names, "removed"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    plain = both.drop("__repeated")
-    schema = plain.withColumn("removed", F.lit(None).cast("array<struct<start:int,end:int,words:int>>")).schema if spans else plain.schema
+    plain = both.drop(mark)
+    schema = plain.withColumn("removed", F.lit(None).cast("array<struct<start:int,end:int,words:int,size:int>>")).schema if spans else plain.schema
     return both.mapInArrow(tidy_batches(run), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without what is repeated.
+
+    ``removed`` are the spans of MIN_WORDS words or more, ``removed_lines`` those of shorter lines, each
+    as [start, end, words, size].
+    """
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return out.select("doc_id", "text", "removed", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"))
+    flat = lambda some: F.transform(some, lambda x: F.array(x["start"], x["end"], x["words"], x["size"]))
+    return out.select(
+        "doc_id", "text", flat(F.filter("removed", lambda x: x["size"] >= MIN_WORDS)).alias("removed"), flat(F.filter("removed", lambda x: x["size"] < MIN_WORDS)).alias("removed_lines"),
+        F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"),
+    )
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def oracle(min_line_words: int = 0) -> str:
+    """DuckDB SQL of op2's rows; without the ideographic sentence ends, which need a look ahead."""
+    return rf"""
+WITH m AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2))) AS x,
+         generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, i, split_part(x, chr(1), 1) AS u, split_part(x, chr(1), 2) AS sep FROM m),
+p AS (
+  SELECT doc_id, i, u, u || sep AS whole, CAST(sum(length(u) + length(sep)) OVER w - length(u) - length(sep) AS BIGINT) AS a, CAST(sum(length(u) + length(sep)) OVER w AS BIGINT) AS z,
+         count(*) FILTER (regexp_matches(sep, '[\r\n]')) OVER w - CAST(regexp_matches(sep, '[\r\n]') AS INT) AS line, regexp_extract_all(u, '\S+') AS ws
+  FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+un AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, len(ws) AS n, greatest(len(ws), list_sum(list_transform(ws, lambda y: length(y))) // {WORD_CHARS}) AS size,
+         replace(lower(array_to_string(ws, ' ')), 'ß', 'ss') AS norm
+  FROM p WHERE len(ws) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS rep FROM un),
+isl AS (SELECT *, bool_and(rep) OVER (PARTITION BY doc_id, line) AND sum(size) OVER (PARTITION BY doc_id, line) >= {min_line_words} AS all_line, k - row_number() OVER (PARTITION BY doc_id, rep ORDER BY k) AS g FROM r),
+ends AS (
+  SELECT doc_id, g, coalesce(min(k) FILTER (size >= {MIN_UNIT_WORDS}), min(k)) AS x, coalesce(max(k) FILTER (size >= {MIN_UNIT_WORDS}), max(k)) AS y FROM isl WHERE rep GROUP BY ALL),
+tot AS (SELECT e.doc_id, e.x, e.y FROM ends e JOIN r ON r.doc_id = e.doc_id AND r.k BETWEEN e.x AND e.y GROUP BY ALL HAVING sum(size) >= {MIN_WORDS}),
+gone AS (SELECT * FROM isl WHERE all_line OR EXISTS (SELECT 1 FROM tot WHERE tot.doc_id = isl.doc_id AND isl.k BETWEEN tot.x AND tot.y)),
+sp AS (
+  SELECT doc_id, min(a) AS a, max(z) AS z, sum(n) AS n, sum(size) AS size
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS h FROM gone) GROUP BY doc_id, h),
+kept AS (
+  SELECT doc_id, string_agg(whole, '' ORDER BY i) AS text FROM p
+  WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = p.doc_id AND p.a >= sp.a AND p.a < sp.z) GROUP BY doc_id),
+li AS (
+  SELECT doc_id, count(*) AS n_removed, CAST(sum(n) AS BIGINT) AS removed_words,
+         list([CAST(a AS INT), CAST(z AS INT), CAST(n AS INT), CAST(size AS INT)] ORDER BY a) FILTER (size >= {MIN_WORDS}) AS removed,
+         list([CAST(a AS INT), CAST(z AS INT), CAST(n AS INT), CAST(size AS INT)] ORDER BY a) FILTER (size < {MIN_WORDS}) AS removed_lines
+  FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(removed, []) AS removed, coalesce(removed_lines, []) AS removed_lines,
+       coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN li USING (doc_id)"""
+
+
+ORACLE_SQL = {"op2_substring_dedup": oracle()}

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_PATH = "_written_at"
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,14 +67,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out.__dict__[_PATH] = path  # not as an attribute, which a column of that name would answer for
     return out
 
 
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_written_at", None)
+        path = t.__dict__.get(_PATH) if t is not None else None
         if path:
             p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -154,20 +154,57 @@ def test_jaccard_empty(spark):
 # ---- substrings -----------------------------------------------------------------------------------
 
 
-def brute_dedup(rows):
+def brute_units(text):
+    """(start, next start, normalised, line, size) by one walk over the characters; shares nothing with the operator."""
+    out, start, i, line = [], 0, 0, 0
+    skip = lambda k, chars: next((j for j in range(k, len(text)) if text[j] not in chars), len(text))
+    while i <= len(text):
+        before, end = text[i - 1 : i], None
+        if i == len(text):
+            end = i
+        elif text[i] in " \t" and before and before in ".!?":
+            end = skip(i, " \t")
+        elif text[i] in "\r\n":
+            end = skip(i, "\r\n")
+        elif before and before in "。！？｡" and (skip(i, " \t") > i or text[i] not in "。！？｡」』”’）\r\n"):
+            end = skip(i, " \t")
+            end -= text[end : end + 1] != "" and text[end] in "。！？｡」』”’）\r\n"
+        if end is None:
+            i += 1
+            continue
+        w = text[start:i].split()
+        if w:
+            out.append((start, end, " ".join(w).casefold(), line, max(len(w), sum(map(len, w)) // 6)))
+        line += any(c in "\r\n" for c in text[i:end])
+        start, i = end, max(end, i + 1)
+    return out
+
+
+def brute_dedup(rows, min_line=0):
     seen, out = set(), {}
-    for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None}):
-        found = substring_dedup.units(t or "")
-        repeated = set()
+    for i, t in sorted({(i, t or "") for i, t, *_ in rows if i is not None}):
+        found, again = brute_units(t), []
+        for u in found:
+            again.append(u[2] in seen)
+            seen.add(u[2])
+        gone = [all(r for r, v in zip(again, found) if v[3] == u[3]) and sum(v[4] for v in found if v[3] == u[3]) >= min_line for u in found]
+        for a in range(len(found)):
+            for b in range(a + 1, len(found) + 1):
+                if all(again[a:b]) and (a == 0 or not again[a - 1]) and (b == len(found) or not again[b]):
+                    x, y = a, b
+                    if any(found[k][4] >= 4 for k in range(a, b)):
+                        x = next(k for k in range(a, b) if found[k][4] >= 4)
+                        y = next(k for k in range(b, a, -1) if found[k - 1][4] >= 4)
+                    if sum(found[k][4] for k in range(x, y)) >= 25:
+                        gone[x:y] = [True] * (y - x)
+        spans = []
         for k, u in enumerate(found):
-            if u[3] in seen:
-                repeated.add(k)
-            seen.add(u[3])
-        spans = substring_dedup.runs(found, repeated)
+            if gone[k]:
+                spans = [*spans[:-1], (spans[-1][0], u[1])] if k and gone[k - 1] else [*spans, (u[0], u[1])]
         text = t
-        for a, b, _ in reversed(spans):
+        for a, b in reversed(spans):
             text = text[:a] + text[b:]
-        out[i] = (text, [(a, b) for a, b, _ in spans])
+        out[i] = (text, spans)
     return out
 
 
@@ -190,19 +227,33 @@ def test_substrings_against_brute_force(spark):
             parts.insert(r.randint(0, len(parts)), r.choice(passages))
         rows.append((i, r.choice(["\n", " "]).join(parts), "en", "s"))
     rows += [(300, None, "", ""), (301, "", "", ""), rows[5], (None, passages[0], "", ""), (302, passages[1] * 50, "", "")]
-    df = spark.createDataFrame(rows, DOCS).withColumn("removed_words", F.lit(1)).repartition(4)
-    got = substring_dedup.dedup(df).collect()
-    assert len(got) == len(rows)
-    want = brute_dedup(rows)
-    for x in got:
-        if x["doc_id"] is None:
-            assert x["text"] == passages[0] and x["removed"] == []
-        else:
-            assert (x["text"], [(s["start"], s["end"]) for s in x["removed"]]) == want[x["doc_id"]], x["doc_id"]
-    assert any(s for _, s in want.values())
+    clash = {"removed": F.lit("clash"), "__id": F.lit("kept"), "__repeated": F.lit(1)}
+    df = spark.createDataFrame(rows, DOCS).withColumns(clash).repartition(4)
+    for min_line in (0, 12):
+        out = substring_dedup.dedup(df, min_line_words=min_line)
+        assert out.columns == ["doc_id", "text", "lang", "source", "__id", "__repeated", "removed"]
+        got = out.collect()
+        assert len(got) == len(rows) and {x["__id"] for x in got} == {"kept"}
+        want = brute_dedup(rows, min_line)
+        for x in got:
+            if x["doc_id"] is None:
+                assert x["text"] == passages[0] and x["removed"] == []
+            else:
+                assert (x["text"] or "", [(s["start"], s["end"]) for s in x["removed"]]) == want[x["doc_id"]], x["doc_id"]
+        assert any(s for _, s in want.values())
+    assert substring_dedup.dedup(df, spans=False).columns == df.columns
     assert substring_dedup.dedup(df.where("doc_id < 0")).count() == 0
 
 
+def test_op2_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_dedup([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    got = substring_dedup.op2_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    for x in got:
+        assert ((x["text"] or ""), sorted((s[0], s[1]) for s in x["removed"] + x["removed_lines"])) == want[x["doc_id"]]
+        assert x["n_removed"] == len(want[x["doc_id"]][1])
+
+
 def test_substring_long_passage_goes_and_first_stays(spark):
     passage = " ".join(f"word{i}" for i in range(60)) + "."
     rows = [(3, "Own text of three. " + passage + " More of three.", "", ""), (1, passage, "", ""), (2, "Alone here\n" + passage + "\nand after", "", "")]
@@ -373,6 +424,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "substring_dedup", "decontamination", "mixing"]
 
 
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(3, 8))) for _ in range(70)) + "."
+    good = text()
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, good, "en", None, 0), (3, good, "en", None, 0), (None, good, "en", "b", 0), (4, "word " * 40_000, "en", "b", 0), (5, text() * 300, "en", "b", 0), (6, text(), None, "b", 0)]
+    clash = {"_written_at": F.lit("w"), "__id": F.lit(1), "__hit": F.lit(2), "removed": F.lit("r"), "mix_slot": F.lit("m")}
+    spark.createDataFrame(rows, DOCS + ", n_chars long").withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_written_at", "__id", "__hit", "removed", "mix_block", "mix_slot", "mix_offset"]
+    got = out.collect()
+    assert sorted(str(x["doc_id"]) for x in got) == ["3", "3", "6", "None"] and {x["_written_at"] for x in got} == {"w"}
+    assert {x["text"] for x in got if x["doc_id"] != 6} == {good}
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).where("doc_id > 99")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
+
+
 def test_pipeline_mixes_by_the_weights_themselves(spark):
     import corpus_pipeline
 
