@@ -537,11 +537,11 @@ def abend_code_counts(spark, d):
 
 @query("""
 SELECT file, string_agg(code || chr(10) || body || chr(10), chr(10) ORDER BY n) AS content
-FROM (SELECT 'm' || doc_id AS file, code, body, n FROM documents, (VALUES ('IEF450I', 'Meaning of it', 1), ('IEC030I', 'data error while reading' || chr(10) || 'More', 2)) AS v(code, body, n)) GROUP BY file""")
+FROM (SELECT DISTINCT 'm' || source AS file, code, body, n FROM documents, (VALUES ('IEF450I', 'Meaning of it', 1), ('IEC030I', 'data error while reading' || chr(10) || 'More', 2)) AS v(code, body, n)) GROUP BY file""")
 def manual_files(spark, d):
     """Cleaned manuals written as text files and read again."""
     text = "Chapter 1. IEF messages\nIEF450I\nMeaning of it\nIBM\n\nIEC030I data error while reading\nMore\n30\n"
-    docs = table(spark, d, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("filename"), F.lit(text).alias("content"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("m"), "source").alias("filename"), F.lit(text).alias("content")).distinct()
     path = folder(spark, "manuals")
     render.write_manuals(etl.manual_text(etl.message_entries(docs), "msgid"), path)
     back = spark.read.schema("value string, file string").text(path, wholetext=True)
