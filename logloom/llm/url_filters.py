@@ -5,7 +5,10 @@ starts with the rule's.  Hosts are turned into reversed-label keys (``www.exampl
 ``com.example.www.``), under which a host and its subdomains are one interval of the sorted
 order.  Every Arrow batch of urls is sorted by that key and swept once against the sorted
 rules; a stack holds the rules whose interval contains the present key, innermost last, and
-the longest fitting rule on the stack wins (at equal length the one of the longer host).
+the longest fitting rule on the stack wins (at equal length the one of the longer host).  From one
+key to the next the sweep leaps over the rules between by bisection: a rule below the present key
+that does not contain it contains no later key either.  So a batch costs its own rows, however
+many rules there are.
 
 Urls are never shuffled, so a host with a third of all rows costs nothing extra.  Rules are
 read in blocks of at most ``block_rules`` (by a hash of the rule), each shipped with the task
@@ -13,14 +16,17 @@ closure, and every further block is one more pass over (id, url, best rule so fa
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule;
 a url that fits none gets rule null and the default verdict; repeated rules with different
-verdicts resolve to ``block``; repeated rows are judged one by one.
+verdicts resolve to ``block``; repeated rows are judged one by one; very long urls are split whole;
+an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,17 +85,28 @@ def _blocks(rules: Iterable[Rule], block_rules: int) -> list[list[tuple[str, lis
     return out
 
 
+_first = itemgetter(0)
+
+
 def sweep(keyed: list[tuple[str, str, int]], rules: list[tuple[str, list[tuple[str, str, str, int]]]]) -> Iterator[tuple[int, str, str, int]]:
     """For sorted (host key, path, row), the row, rule text, verdict and host length of the longest fit."""
     stack: list[tuple[str, list[tuple[str, str, str, int]]]] = []
-    at = 0
+    at, before = 0, None
     for key, path, row in keyed:
-        while stack and not key.startswith(stack[-1][0]):
-            stack.pop()
-        while at < len(rules) and rules[at][0] <= key:
-            if key.startswith(rules[at][0]):
-                stack.append(rules[at])
-            at += 1
+        if key != before:
+            before = key
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            to = bisect_right(rules, key, at, key=_first)
+            if to > at:
+                # Rules that contain the key are among its label prefixes; those up to the stack's top are there already.
+                end = len(stack[-1][0]) if stack else 0
+                while end < len(key):
+                    end = key.index("\0", end) + 1
+                    k = bisect_left(rules, key[:end], at, to, key=_first)
+                    if k < to and rules[k][0] == key[:end]:
+                        stack.append(rules[k])
+            at = to
         found = None
         for _, paths in reversed(stack):
             for start, text, verdict, size in paths:
