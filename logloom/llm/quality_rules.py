@@ -3,11 +3,16 @@
 Each rule rejects a text by one measurement.  On a sample the cascade measures what a rule
 costs and what share of texts it rejects, orders the rules by rejection per cost, and then
 evaluates a rule only on the texts that every earlier rule passed.  The verdict is the
-conjunction of all rules, so the order changes cost and never results.
+conjunction of all rules, so the order changes cost and never a verdict; only ``rejected_by``, the
+rule that came first, depends on it.
+
+The sample is the first ``sample_rows`` texts of each task, so it takes no reading of its own, and a
+partition from one source gets an order that suits it.
 
 Defined results: a null or empty text has no words and is rejected by ``few_words``; rows are
-judged one by one, so repeated rows and null ids each get their own verdict; other columns,
-whatever their names, are not read.
+judged one by one, so repeated rows and null ids each get their own verdict; very long texts are
+measured whole; an empty table gives an empty result; other columns, whatever their names, are not
+read by ``judge`` and pass ``keep`` unchanged.
 """
 
 from __future__ import annotations
@@ -176,36 +181,30 @@ def default_rules(
 BASE_RULES = ("few_words", "repeated_words")
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 64) -> list[Rule]:
-    """The rules by falling rejection per cost, both measured on the first sample_rows texts of every partition.
-
-    Measured where the data is, without reading a partition further than its first Arrow batch;
-    only one row of totals for each rule reaches the driver.  Without a text, or with
-    sample_rows=0, the given order stays.
-    """
-    if not sample_rows:
+def order_rules(rules: list[Rule], raw: bytes, offsets: np.ndarray) -> list[Rule]:
+    """The rules by falling rejection per cost, both measured on some texts; without a text the given order stays."""
+    n = len(offsets) - 1
+    if not n:
         return list(rules)
+    rate = []
+    for rule in rules:
+        texts = Texts(raw, offsets)
+        began = time.perf_counter_ns()
+        hits = int(rule.rejects(texts).sum())
+        rate.append((hits + 1) / (n + 2) / max(time.perf_counter_ns() - began, 1))
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rate[i], i))]
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.slice(0, sample_rows), text_col):
-                raw, offsets = text_bytes(part.column(0))
-                cost, hits = [], []
-                for rule in rules:
-                    texts = Texts(raw, offsets)
-                    began = time.perf_counter_ns()
-                    hits.append(int(rule.rejects(texts).sum()))
-                    cost.append(time.perf_counter_ns() - began)
-                yield pa.RecordBatch.from_pydict(
-                    {"rule": list(range(len(rules))), "cost": cost, "hits": hits, "texts": [part.num_rows] * len(rules)},
-                    pa.schema([("rule", pa.int32()), ("cost", pa.int64()), ("hits", pa.int64()), ("texts", pa.int64())]),
-                )
-            return
 
-    seen = docs.select(text_col).mapInArrow(measure, "rule int, cost long, hits long, texts long")
-    rows = seen.groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits"), F.sum("texts").alias("texts")).collect()
-    rate = {r["rule"]: (r["hits"] + 1) / (r["texts"] + 2) / max(r["cost"], 1) for r in rows}
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rate.get(i, 0), i))]
+class Ordered:
+    """A task's rules: in the given order until its first texts have come, then by rejection per cost."""
+
+    def __init__(self, rules: list[Rule], sample_rows: int):
+        self.rules, self.sample_rows = list(rules), sample_rows
+
+    def see(self, column: pa.Array) -> None:
+        if self.sample_rows and len(column):
+            self.rules = order_rules(self.rules, *text_bytes(column.slice(0, self.sample_rows)))
+            self.sample_rows = 0
 
 
 def cascade(texts: Texts, rules: list[Rule]) -> np.ndarray:
@@ -223,13 +222,16 @@ def cascade(texts: Texts, rules: list[Rule]) -> np.ndarray:
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 64) -> DataFrame:
     """id, the base measurements, base_failed, kept, and rejected_by (the rule's name) of every row."""
-    rules = order_rules(docs, default_rules() if rules is None else rules, text_col, sample_rows)
+    rules = default_rules() if rules is None else rules
     base = [r for r in rules if r.name in BASE_RULES]
-    rest = [r for r in rules if r.name not in BASE_RULES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The base measurements are asked for anyway; the others' rules are put in order.
+        own = Ordered([r for r in rules if r.name not in BASE_RULES], sample_rows)
         for batch in batches:
             for part in slices(batch, text_col):
+                own.see(part.column(1))
+                rest = own.rules
                 texts = Texts(*text_bytes(part.column(1)))
                 stats = [getattr(texts, c) for c in BASE]
                 by = np.array(["", *(r.name for r in base)], object)[cascade_shared(texts, base) + 1]
@@ -257,13 +259,15 @@ def cascade_shared(texts: Texts, rules: list[Rule]) -> np.ndarray:
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 64) -> DataFrame:
     """The rows that pass every rule, all columns unchanged; the cascade stops at the first rejection."""
-    rules = order_rules(docs, default_rules() if rules is None else rules, text_col, sample_rows)
+    rules = default_rules() if rules is None else rules
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Ordered(rules, sample_rows)
         for batch in batches:
             for part in slices(batch, text_col):
-                yield part.filter(pa.array(cascade(Texts(*text_bytes(part.column(at))), rules) < 0))
+                own.see(part.column(at))
+                yield part.filter(pa.array(cascade(Texts(*text_bytes(part.column(at))), own.rules) < 0))
 
     return docs.mapInArrow(run, docs.schema)
 

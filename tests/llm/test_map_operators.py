@@ -1,6 +1,5 @@
 """Row-wise operators: rules, urls, decontamination, language, toxicity, quality."""
 
-import hashlib
 import math
 import random
 import re
@@ -8,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,9 +75,13 @@ def test_order_prefers_rejection_per_cost(spark):
         return np.ones(t.n, bool)
 
     rules = [quality_rules.Rule("slow", slow), quality_rules.Rule("never", lambda t: np.zeros(t.n, bool)), quality_rules.Rule("fast", lambda t: np.ones(t.n, bool))]
+    assert [r.name for r in quality_rules.order_rules(rules, *_raw(["some text"] * 50))][0] == "fast"
+    assert quality_rules.order_rules(rules, *_raw([])) == rules
+    own = quality_rules.Ordered(rules, 3)
+    own.see(pa.array(["some text"] * 9))
+    assert own.rules[0].name == "fast"
     docs = spark.createDataFrame([(i, "some text") for i in range(50)], "doc_id long, text string")
-    assert [r.name for r in quality_rules.order_rules(docs, rules)][0] == "fast"
-    assert quality_rules.order_rules(docs.where("doc_id < 0"), rules) == rules
+    assert quality_rules.keep(docs, rules).count() == 0 and quality_rules.keep(docs, rules[1:2]).count() == 50
 
 
 def _raw(texts):
@@ -157,13 +161,31 @@ def test_decontamination_against_brute_force(spark):
             for g in got:
                 assert (g["n_words"], g["n_hit"], g["items"]) == want[g["doc_id"]]
                 assert sum(s["words"] for s in g["hit_spans"]) == g["n_hit"]
-    kept = decontamination.keep_clean(spark.createDataFrame(rows, DOCS), spark.createDataFrame(use, "item_id long, text string"))
-    assert kept.columns == ["doc_id", "text", "lang", "source"]
+    clash = spark.createDataFrame(rows, DOCS).withColumns({"__hit": F.lit("h"), "__items": F.lit(1)})
+    kept = decontamination.keep_clean(clash, spark.createDataFrame(use, "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "__hit", "__items"]
+    empty = spark.createDataFrame([], DOCS)
+    items_ = spark.createDataFrame(use, "item_id long, text string")
+    assert decontamination.judge(empty, items_).count() == 0 and decontamination.keep_clean(empty, items_).count() == 0
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t, *_ in rows if not brute_hits(t, use)[1])
 
 
-def test_items_digest():
-    assert decontamination.items_digest(["1", "10", "2"]) == hashlib.sha256(b"1,10,2").hexdigest()
+def test_decontamination_items_without_id_or_repeated(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + item, "", ""), (2, "other", "", "")], DOCS)
+    for items, n, ids in (([(None, item)], 0, []), ([(3, item), (3, "other"), (None, item)], 1, ["3"])):
+        got = {r["doc_id"]: r for r in decontamination.judge(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert (got[1]["n_hit"], got[1]["n_items"], got[1]["items"], got[1]["contaminated"]) == (12, n, ids, True)
+    assert got[2]["items"] == ["3"]
+
+
+def test_decontamination_builds_once_a_worker():
+    block = [(1, "a b c")]
+    decontamination._built.clear()
+    first = decontamination._matchers("k", block, 10)
+    assert decontamination._matchers("k", block, 10) is first
+    decontamination._matchers("l", block, 10), decontamination._matchers("m", block, 10)
+    assert set(decontamination._built) == {"l", "m"}
 
 
 # ---- language ---------------------------------------------------------------------------------------
@@ -208,6 +230,8 @@ def test_language_prediction_and_edges(spark):
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
     changed = docs.withColumn("lang", F.when(F.col("doc_id").isin(*held), "xx").otherwise(F.col("lang")))
     assert language_id.fit(changed).languages == ["de", "en", "fr"]
+    few = language_id.identify(docs.withColumn("lang_pred", F.lit(1)).withColumn("least", F.lit("x")), language_id.fit(docs), block_languages=1).collect()
+    assert sorted(map(tuple, few), key=str) == sorted(map(tuple, got), key=str)
     empty = docs.where("doc_id < 0")
     assert language_id.identify(docs, language_id.fit(empty)).where("lang_pred != 'und'").count() == 0
     assert language_id.identify(empty, language_id.fit(docs)).count() == 0
