@@ -36,6 +36,12 @@ def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards_for(texts: DataFrame, text_col: str, shard_bytes: int) -> int:
+    """The shuffle partitions, or one shard for every shard_bytes of text if that is more."""
+    size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(n_partitions(texts.sparkSession), -(-size // shard_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 

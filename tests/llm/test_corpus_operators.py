@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,12 +129,13 @@ def near_copies(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2048), (2, 8), (3, 3)])
-def test_jaccard_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,hot,flush", [(1, 2048, 256, 1_000_000), (2, 8, 3, 2_000), (3, 3, 2, 700)])
+def test_jaccard_against_brute_force(spark, monkeypatch, seed, block, hot, flush):
+    monkeypatch.setattr(jaccard_join, "_FLUSH", flush)
     rows = near_copies(seed) + [(500, None, "", ""), (501, "", "", ""), (502, "a b", "", ""), (503, "A  B", "", ""), (504, "a b c", "", ""), (505, "x y z w v", "", ""), (506, "X y z w v", "", "")]
-    rows += [rows[3], (None, "a b", "", "")]
+    rows += [rows[3], rows[3], rows[3], (rows[4][0], rows[7][1], "", ""), (None, "a b", "", "")]
     df = spark.createDataFrame(rows, DOCS).withColumn("component_id", F.lit("clash")).repartition(5)
-    got = jaccard_join.join(df, list_block=block).collect()
+    got = jaccard_join.join(df, list_block=block, hot=hot, portion=block).collect()
     assert len(got) == len(rows)
     want = brute_classes(rows)
     for r in got:
@@ -145,6 +148,63 @@ def test_jaccard_against_brute_force(spark, seed, block):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
+def test_jaccard_hot_shingle_is_one_count_a_block(monkeypatch):
+    """A line in a third of all documents: the range of its shingles gets counts, not documents."""
+    monkeypatch.setattr(jaccard_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [f"own{i} a{i} b{i} c{i} d{i}" + (" the same line of seven words here" if i % 3 == 0 else "") for i in range(900)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "text": texts})
+    out = [r for b in jaccard_join._emit_blocks("text", 5, 4, 64)(iter([batch])) for r in b.to_pylist()]
+    waiting = [unpack(r["blob"]) for r in out if r["shard"] < 0]
+    assert len(waiting) == 1 and len(waiting[0][0]) == 900
+    parts = [unpack(r["blob"]) for r in out if r["shard"] >= 0]
+    hot = {int(h): int(k) for p in parts for h, k in zip(p[3], p[4])}
+    assert sorted(hot.values()) == [300] * 3
+    assert max(np.bincount(np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)[1])) < 64
+
+
+def test_skip_list_finds_all_and_skips_blocks():
+    r = np.random.default_rng(2)
+    n = np.sort(r.integers(5, 400, 3000))
+    pos = (n * r.random(3000) * 0.21).astype(np.int64)
+    order = np.lexsort((pos, n))
+    n, pos = n[order], pos[order]
+    entries = jaccard_join.SkipList(n, pos, 80)
+    whole = 0
+    for i in range(0, 3000, 7):
+        j = np.arange(i + 1, 3000)
+        need = -(-80 * (n[i] + n[j]) // 180)
+        fits = (100 * n[i] >= 80 * n[j]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)
+        assert entries.after(i).tolist() == j[fits].tolist()
+        whole += max(0, (np.searchsorted(n, 100 * n[i] // 80, "right") - 1) // 64 - (i + 1) // 64 + 1)
+    assert entries.visited < 0.95 * whole
+    every = [(int(i), int(j)) for some in entries.pairs(500) for i, j in zip(*some)]
+    assert every == [(i, int(j)) for i in range(3000) for j in entries.after(i)]
+    tok = np.repeat(np.arange(60), 50)
+    lists = jaccard_join.SkipList(*(np.concatenate([x[o] for o in (np.lexsort((pos[a : a + 50], n[a : a + 50])) + a for a in range(0, 3000, 50))]) for x in (n, pos)), 80)
+    got = sorted((int(i), int(j)) for some in jaccard_join._pairs_within(tok, lists) for i, j in zip(*some))
+    assert got == sorted((a + int(i), a + int(j)) for a in range(0, 3000, 50) for some in jaccard_join.SkipList(lists.n[a : a + 50], (lists.n - lists.left - 1)[a : a + 50], 80).pairs() for i, j in zip(*some))
+    short = jaccard_join.SkipList(n[100:160], pos[100:160], 80)
+    assert [(int(i), int(j)) for some in short.pairs() for i, j in zip(*some)] == [(i, int(j)) for i in range(60) for j in short.after(i)]
+
+
+def test_jaccard_accepts_from_a_common_pivot():
+    """Bounds by a common pivot accept and reject without the sets."""
+    rows = {"tok": [5] * 4, "doc_id": [1, 2, 3, 4], "n": [100] * 4, "pos": [0] * 4, "comp": [1, 2, 3, 4], "pivot": [9, 9, 9, -1], "pivot_n": [100, 100, 100, 0], "over": [98, 97, 20, 0], "side": [0] * 4, "across": [False] * 4}
+    got = {(x["a"], x["b"]): x["sure"] for x in jaccard_join._derive(80)(pa.table(rows)).to_pylist()}
+    assert got == {(1, 2): True, (1, 4): False, (2, 4): False, (3, 4): False}
+
+
+def test_jaccard_largest_class_meets_only_the_rest(spark):
+    kind = "tok long, doc_id long, n long, pos long, comp long"
+    label = spark.createDataFrame([(7, i, 50, 0, 1 if i < 1000 else i) for i in range(1003)], kind)
+    best = spark.createDataFrame([], "b long, best struct<a:long,na:long,overlap:long>")
+    dealt = jaccard_join._dealt(label, best, 100, 4).collect()
+    major = [x for x in dealt if x["comp"] == 1]
+    assert len(major) == 1000 and len(dealt) - len(major) == 3 * 10 + 3
+    sizes = Counter((x["kind"], x["lo"], x["hi"]) for x in dealt)
+    assert max(sizes.values()) < 200
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], DOCS)).count() == 0
     one = jaccard_join.join(spark.createDataFrame([(5, None, "", "")], DOCS)).collect()
@@ -306,21 +366,48 @@ def brute_lm(rows, trained, mu=lm_scoring.MU):
     return out
 
 
-@pytest.mark.parametrize("shards,block", [(1, 6 << 20), (5, 300)])
-def test_language_model_against_brute_force(spark, monkeypatch, shards, block):
-    monkeypatch.setattr(lm_scoring, "_BLOCK_BYTES", block)
+@pytest.mark.parametrize("shards,block", [(1, 6 << 20), (5, 300), (40, 300)])
+def test_language_model_against_brute_force(spark, shards, block):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(15)] + ["Été", "x"]
     rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 60))), "", "") for i in range(60)] + [(100, None, "", ""), (101, "", "", ""), (102, "new words only", "", ""), (103, "w1", "", "")]
     trained = [i % 4 != 0 for i, *_ in rows]
     df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).repartition(3)
-    got = {x["doc_id"]: x for x in lm_scoring.score(df, F.col("doc_id") % 4 != 0, shards=shards).collect()}
+    got = {x["doc_id"]: x for x in lm_scoring.score(df, F.col("doc_id") % 4 != 0, shards=shards, block_bytes=block).collect()}
     for (i, *_), (n, known, total, base, score) in zip(rows, brute_lm(rows, trained)):
         g = got[i]
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (n, known, total)
         assert g["base_score"] == pytest.approx(base, rel=1e-12) and g["score"] == pytest.approx(score, rel=1e-3)
 
 
+def test_language_model_spreads_a_hot_word(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["the", f"w{r.randint(0, 60)}", f"v{r.randint(0, 9)}"]) for _ in range(r.randint(1, 80))), "", "") for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {x["doc_id"]: x for x in lm_scoring.score(df, F.col("doc_id") % 5 != 0, shards=24, block_bytes=2000).collect()}
+    for (i, *_), (n, known, total, base, score) in zip(rows, brute_lm(rows, [i % 5 != 0 for i in range(80)])):
+        g = got[i]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (n, known, total)
+        assert g["base_score"] == pytest.approx(base, rel=1e-12) and g["score"] == pytest.approx(score, rel=1e-3)
+    # The bigrams of the hot word are dealt out: no shard has more than a third of them.
+    texts = [t.encode() for _, t, *_ in rows]
+    token, counts = lm_scoring._tokens(b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    words, token = np.unique(token, return_inverse=True)
+    b = lm_scoring._Block(pack(words, np.arange(len(words)), token, counts, np.arange(80), np.zeros(80, np.int64), np.ones(80, np.int64)))
+    hot = lm_scoring.Hot(words, np.bincount(token) / len(token), 24)
+    route = lm_scoring._Route(b, 24, hot)
+    the = word_hashes(b"the", np.array([0]), np.array([3]))[0]
+    mine = b.words[b.w2a[route.order2]] == the
+    per = [int(mine[x:y].sum()) for x, y in zip(route.two, route.two[1:])]
+    assert the in hot.words and sum(per) > 50 and max(per) < sum(per) / 3
+
+
+def test_sums_without_expansion():
+    key, count = np.array([5, 3, 5, 9, 3]), np.array([10**12, 0, 2, 1, 4])
+    assert [x.tolist() for x in lm_scoring._sum_by(key, count)] == [[3, 5, 9], [4, 10**12 + 2, 1]]
+    assert [x.tolist() for x in lm_scoring._sum_by(key, count * 0)] == [[], []]
+
+
 def test_language_model_edges(spark):
     assert lm_scoring.score(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
     rows = [(None, "a b", "", ""), (2, "a b", "", ""), (2, "a b", "", "")]
