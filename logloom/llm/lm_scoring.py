@@ -9,9 +9,10 @@ and never gathered in one place.
    bigrams and trigrams whose first word lies there, as a small trie with training counts.
    Words that a sample finds frequent (at most 65,536) go by number instead of by hash.
 3. *Tries.*  A shard adds up the blocks' tries and builds its part of the model: levels with
-   Elias-Fano pointers, bit-packed children and quantised probabilities, memory-mapped.  It
-   then finds every requested n-gram by successor search inside its context's run, and
-   answers each block in the block's own order, so answers are codes without keys.
+   Elias-Fano pointers, bit-packed children and quantised probabilities, memory-mapped from files
+   that live as long as the task.  It then finds every requested n-gram by successor search inside
+   its context's run, and answers each block in the block's own order, so answers are codes without
+   keys.
 4. *Scores.*  A block's layout meets its answers and gives one row for each document.
 
 Probabilities are Dirichlet-smoothed: p(w|h) = (c(hw) + mu p(w|h')) / (c(h) + mu), c(h) being
@@ -19,12 +20,19 @@ how often h has a successor, down to p(w) = (c(w) + 1) / (N + V + 1).  Over the
 one unknown word they add up to 1 before quantisation.  Words before the text's start do not
 exist: its first token has no context and its second has one word.
 
-A first word is one shard's: it receives each block's distinct n-grams with that word, so a
-word that makes up a third of all tokens costs the distinct successors it has in each block.
+Hot words: a word with more than a shard's share of the sampled tokens is spread over as many shards
+as its share calls for, its bigrams (with their trigrams) dealt out by the second word.  Every block
+tells all of them the word's own count, which is the count of the context as every word but the end
+has a successor.  A shard takes blocks * (n-grams a block has there) entries, and counts are added
+without being expanded.  There are at least two shards for each shuffle partition and one for every
+``shard_bytes`` of layout, so a session with few partitions does not get large shards.  A block sends a
+row to the shards it has words for: at most as many rows as it has words, so rows grow with blocks
+times shards only until shards outnumber a block's words; larger executors can take larger blocks.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored, and
-counted in training, one by one; a null id counts as the empty string for the fold; without
-training texts every token is unknown.
+counted in training, one by one; a null id counts as the empty string for the fold; very long texts
+are whole and one block each; an empty table gives an empty result; other columns, whatever their
+names, are not read; without training texts every token is unknown.
 """
 
 from __future__ import annotations
@@ -40,11 +48,11 @@ from pyspark.sql import functions as F
 from .elias_fano import Level, Mapped, quantise, restore
 from .packing import pack, ranked, release, tidy, tidy_batches, unpack
 from .tables import fold, n_partitions, table, written
-from .wordhash import PIECE, U64, slices, text_bytes, word_hashes, word_spans
+from .wordhash import PIECE, U64, mix, slices, text_bytes, word_hashes, word_spans
 
 END = 0xE0D0F7EC7A11D0CE
 MU = 4.0
-_BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 
 
 def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +64,16 @@ def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, counts + 1
 
 
-def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, train) to one row (block, blob) for about _BLOCK_BYTES of text."""
+def _layout(block_bytes: int):
+    """(doc_id, text, train) to one row (block, blob) for about block_bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, block_bytes)
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = n = 0
 
@@ -77,7 +93,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = part.column(0)
             held.append((*_tokens(raw, offsets), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))
             size += len(raw)
-            if size >= _BLOCK_BYTES:
+            if size >= block_bytes:
                 yield flush()
                 held.clear()
                 size, n = 0, n + 1
@@ -129,68 +145,123 @@ class _Block:
         self.c3 = np.bincount(self.of3[counted[self.at3]], minlength=len(key))
         self.n3, self.w3c = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
 
-    def cuts(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each shard's words, bigrams and trigrams start; all three are in shard order."""
-        to = ((self.words >> U64(32)) * U64(shards)) >> U64(32)
-        one = np.searchsorted(to, np.arange(shards + 1, dtype=U64))
-        two = np.searchsorted(self.w2a, one)
-        return one, two, np.searchsorted(self.n3, two)
 
+class Hot:
+    """Words that are spread over several shards: hashes, ascending, and over how many shards each."""
 
-def _frequent(layout: DataFrame, blocks: int = 16, most: int = 1 << 16) -> np.ndarray:
-    """Hashes of words that are frequent in about so many blocks, ascending: short names for requests, of no effect on results."""
+    def __init__(self, words: np.ndarray, share: np.ndarray, shards: int):
+        n = np.minimum(np.ceil(share * shards), shards).astype(np.int64)
+        order = np.flatnonzero(n > 1)
+        order = order[np.argsort(words[order])]
+        self.words, self.n = words[order], n[order]
+
+    def spread(self, words: np.ndarray) -> np.ndarray:
+        """For each word over how many shards it goes."""
+        out = np.ones(len(words), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out = np.where(self.words[at] == words, self.n[at], out)
+        return out
+
+
+class _Route:
+    """Which shard a block's words, bigrams and trigrams go to."""
+
+    def __init__(self, b: _Block, shards: int, hot: Hot):
+        base = (((b.words >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
+        n = hot.spread(b.words)
+        two = base[b.w2a]
+        split = np.flatnonzero(n[b.w2a] > 1)
+        if len(split):
+            own = n[b.w2a[split]]
+            two[split] = (two[split] + (mix(b.words[b.w2b[split]]) % own.astype(U64)).astype(np.int64)) % shards
+        three = two[b.n3]
+        every = np.arange(shards + 1)
+        small = np.uint16 if shards < 1 << 16 else np.int64  # short keys are sorted by radix
+        self.order2, self.order3 = (np.argsort(x.astype(small), kind="stable") for x in (two, three))
+        self.one = np.searchsorted(base, every)
+        self.two, self.three = np.searchsorted(two[self.order2], every), np.searchsorted(three[self.order3], every)
+        # Hot words at their other shards, by shard and word.
+        word = np.repeat(np.arange(len(n)), n - 1)
+        turn = np.arange(len(word)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + 1
+        shard = (base[word] + turn) % shards
+        by = np.lexsort((word, shard))
+        self.guest, self.guests = word[by], np.searchsorted(shard[by], every)
+
+
+def _sampled(layout: DataFrame, blocks: int = 16, most: int = 1 << 16) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bytes of the layout, and the most frequent words of about so many blocks with their share of the tokens there.
+
+    They give words short names and hot words more shards; neither has an effect on results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
                 words, rank, token, *_ = unpack(blob.as_py())
-                n = np.bincount(token.view(np.int64), minlength=len(words))[:most]
-                yield pa.RecordBatch.from_arrays([pa.array([pack(words[rank.view(np.int64)[: len(n)]], n)], pa.binary())], names=["blob"])
+                n = np.bincount(token.view(np.int64), minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([pack(words[rank.view(np.int64)[: min(most, len(n))]], n[:most], np.array([n.sum()]))], pa.binary())], names=["blob"])
 
-    part = F.pmod(F.xxhash64("block"), F.lit(max(1, layout.count() // blocks)))
+    n, size = layout.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()
+    part = F.pmod(F.xxhash64("block"), F.lit(max(1, n // blocks)))
     parts = [unpack(r[0]) for r in layout.where(part == 0).select("blob").mapInArrow(run, "blob binary").collect()]
     if not parts:
-        return np.zeros(0, U64)
+        return size, np.zeros(0, U64), np.zeros(0)
     words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]).view(np.int64))
-    return np.sort(words[np.argsort(-n, kind="stable")[:most]])
+    count = np.bincount(inverse, np.concatenate([p[1] for p in parts]).view(np.int64))
+    top = np.argsort(-count, kind="stable")[:most]
+    return size, words[top], count[top] / sum(int(p[2][0]) for p in parts)
 
 
-def _requests(shards: int, frequent: np.ndarray):
+def _requests(shards: int, frequent: np.ndarray, hot: Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 b = _Block(blob.as_py())
-                one, two, three = b.cuts(shards)
+                route = _Route(b, shards, hot)
                 short = np.searchsorted(frequent, b.words)
                 known = np.zeros(len(b.words), bool)
                 inside = short < len(frequent)
                 known[inside] = frequent[short[inside]] == b.words[inside]
-                blobs = []
+                to, blobs = [], []
+                place, at_first = np.empty(len(b.words), np.int32), np.empty(len(b.words), np.int32)
+                at_two = np.empty(len(b.w2a), np.int32)
+                at_two[route.order2] = np.arange(len(b.w2a), dtype=np.int32)
                 for s in range(shards):
-                    u, v, w = slice(one[s], one[s + 1]), slice(two[s], two[s + 1]), slice(three[s], three[s + 1])
+                    lo, hi = route.one[s : s + 2]
+                    guest = route.guest[route.guests[s] : route.guests[s + 1]]
+                    if lo == hi and not len(guest):
+                        continue
+                    before = guest[guest < lo]
+                    first = np.concatenate([before, np.arange(lo, hi), guest[len(before) :]])
+                    two, three = route.order2[route.two[s] : route.two[s + 1]], route.order3[route.three[s] : route.three[s + 1]]
+                    second, third = b.w2b[two], b.w3c[three]
                     used = np.zeros(len(b.words), bool)
-                    used[b.w2b[v]] = True
-                    used[b.w3c[w]] = True
+                    used[second] = True
+                    used[third] = True
                     child = np.flatnonzero(used)
                     child = np.concatenate([child[known[child]], child[~known[child]]])  # named by number, then by hash
-                    place = np.empty(len(b.words), np.int32)
                     place[child] = np.arange(len(child), dtype=np.int32)
                     few = int(known[child].sum())
-                    fan2 = np.bincount(b.w2a[v] - one[s], minlength=one[s + 1] - one[s])
-                    fan3 = np.bincount(b.n3[w] - two[s], minlength=two[s + 1] - two[s])
-                    blobs.append(pack(b.words[u], b.c1[u], fan2, place[b.w2b[v]], b.c2[v], fan3, place[b.w3c[w]], b.c3[w], short[child[:few]], b.words[child[few:]]))
-                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([block] * shards), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
+                    at_first[first] = np.arange(len(first), dtype=np.int32)
+                    fan2 = np.bincount(at_first[b.w2a[two]], minlength=len(first))
+                    fan3 = np.bincount(at_two[b.n3[three]] - route.two[s], minlength=len(two))
+                    head = np.array([len(before), hi - lo])
+                    to.append(s)
+                    blobs.append(pack(head, b.words[first], b.c1[first], fan2, place[second], b.c2[two], fan3, place[third], b.c3[three], short[child[:few]], b.words[child[few:]]))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([block] * len(to), pa.string()), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
 
     return run
 
 
 class _Request:
-    """A block's request; its words become places in the shard's list of words."""
+    """A block's request to a shard; its words become places in the shard's list of words."""
 
     def __init__(self, blob: bytes, frequent: np.ndarray):
         small = lambda x: x.view(np.int64).astype(np.int32)
-        own, c1, fan2, second, c2, fan3, third, c3, named, others = unpack(blob)
+        head, own, c1, fan2, second, c2, fan3, third, c3, named, others = unpack(blob)
+        before, n = (int(x) for x in head)
+        self.mine = slice(before, before + n)  # the words that are the shard's own, not guests
         self.own, self.children = own, np.concatenate([frequent[named.view(np.int64)], others])
         self.c1, self.fan2, self.second, self.c2, self.fan3, self.third, self.c3 = map(small, (c1, fan2, second, c2, fan3, third, c3))
 
@@ -222,11 +293,11 @@ def _absolute(sent: np.ndarray, back: np.ndarray, mu: float) -> np.ndarray:
 class Trie:
     """A shard of the model: words, bigrams and trigrams that start with one of its words."""
 
-    def __init__(self, n: int, key2: np.ndarray, c2: np.ndarray, key3: np.ndarray, c3: np.ndarray, mu: float, mapped: Mapped):
-        """n words; key2: (word, successor), key3: (place in key2, successor), both packed and ascending."""
-        low = 0xFFFFFFFF
+    def __init__(self, ctx1: np.ndarray, key2: np.ndarray, c2: np.ndarray, key3: np.ndarray, c3: np.ndarray, mu: float, mapped: Mapped):
+        """ctx1: counts of the words; key2: (word, successor), key3: (place in key2, successor), both packed and ascending."""
+        low, n = 0xFFFFFFFF, len(ctx1)
         first, node = key2 >> 32, key3 >> 32
-        ctx1, ctx2 = np.bincount(first, c2, n), np.bincount(node, c3, len(key2))
+        ctx2 = np.bincount(node, c3, len(key2))
         self.mu = mu
         self.back1 = mapped.array(quantise(np.log10(mu / (ctx1 + mu))))
         self.two = mapped.level(Level(np.bincount(first, minlength=n), key2 & low, n, prob=np.log10(c2 / (ctx1[first] + mu)), back=np.log10(mu / (ctx2 + mu))))
@@ -247,10 +318,15 @@ class Trie:
 
 
 def _sum_by(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with their summed counts; what is expanded is a shard's share of the training tokens."""
-    key = np.sort(np.repeat(key, count))
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], np.diff(np.append(at, len(key)))
+    """Distinct keys that occur, ascending, with their summed counts."""
+    seen = count > 0
+    key, count = key[seen], count[seen]
+    if not len(key):
+        return key, count
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.add.reduceat(count[order], at)
 
 
 def _answer(mu: float, frequent: np.ndarray):
@@ -259,41 +335,53 @@ def _answer(mu: float, frequent: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         requests = [_Request(b.as_py(), frequent) for b in group.column("blob")]
         words = np.unique(np.concatenate([x for r in requests for x in (r.own, r.children)]))
-        c1 = np.zeros(len(words), np.int64)
+        c1, mine = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         for r in requests:
             r.place(words)
             c1[r.first] += r.c1
+            mine[r.first[r.mine]] = True
         key2, c2 = _sum_by(np.concatenate([r.key2() for r in requests]), np.concatenate([r.c2 for r in requests]))
         key3 = [np.repeat(np.searchsorted(key2, r.key2()), r.fan3) << 32 | r.third for r in requests]
+        # A bigram that no training text has keeps no successors: its trigrams have count 0 too.
         key3, c3 = _sum_by(np.concatenate(key3), np.concatenate([r.c3 for r in requests]))
-        totals = np.array([(c1 > 0).sum(), c1.sum()])
+        own, n = c1[mine], len(requests)
         with Mapped() as mapped:
-            trie = Trie(len(words), key2, c2, key3, c3, mu, mapped)
+            trie = Trie(c1, key2, c2, key3, c3, mu, mapped)
             del key2, c2, key3, c3
-            answers = [pack(totals, c1[r.first], *(x for codes in trie.look_up(r) for x in ranked(codes))) for r in requests]
+            answers = []
+            for r in requests:
+                back1, *rest = trie.look_up(r)
+                answers.append(pack(c1[r.first[r.mine]], *(x for codes in (back1[r.mine], *rest) for x in ranked(codes))))
             del trie
-        return pa.table({"shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(answers, pa.binary())})
+        return pa.table({
+            "shard": group.column("shard"), "block": group.column("block"), "answer": pa.array(answers, pa.binary()),
+            "types": pa.array([int((own > 0).sum())] * n, pa.int64()), "tokens": pa.array([int(own.sum())] * n, pa.int64()),
+        })
 
     return run
 
 
-def _score(mu: float):
+def _score(mu: float, shards: int, hot: Hot, types: int, tokens: int):
     def run(key: tuple, layout: pa.Table, answers: pa.Table) -> pa.Table:
-        out = _score_block(layout, answers, mu)
+        out = _score_block(layout, answers, mu, shards, hot, types, tokens)
         release()
         return out
 
     return run
 
 
-def _score_block(layout: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
+def _score_block(layout: pa.Table, answers: pa.Table, mu: float, shards: int, hot: Hot, types: int, tokens: int) -> pa.Table:
     order = np.argsort(answers.column("shard").to_numpy())
     parts = [[c.view(np.int64) for c in unpack(answers.column("answer")[int(i)].as_py())] for i in order]
     b = _Block(layout.column("blob")[0].as_py())
-    types, tokens = (int(sum(p[0][k] for p in parts)) for k in (0, 1))
-    c1 = np.concatenate([p[1] for p in parts])
-    back1, prob2, back2, prob3 = (np.concatenate([p[k][p[k + 1]] for p in parts]) for k in (2, 4, 6, 8))
+    route = _Route(b, shards, hot)
+    c1 = np.concatenate([p[0] for p in parts])
+    back1, *sent = (np.concatenate([p[k][p[k + 1]] for p in parts]) for k in (1, 3, 5, 7))
     del parts
+    prob2, back2, prob3 = (np.empty_like(x) for x in sent)
+    for x, y, order in zip((prob2, back2, prob3), sent, (route.order2, route.order2, route.order3)):
+        x[order] = y
+    del route, sent
     value = lambda code, absent: np.where(code > 0, 10.0 ** restore(code - 1), absent)
     prob2 = value(_absolute(prob2, back1[b.w2a], mu), 0.0)
     prob3 = value(_absolute(prob3, back2[b.n3], mu), 0.0)
@@ -317,19 +405,23 @@ def _score_block(layout: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
     )
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, shards: int | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every row of docs scored by the model of the rows where the column ``train`` is true.
 
     doc_id, n_tokens, n_known, train_tokens (long), base_score (unigrams), score (trigrams), train.
+    The tables that the result reads stay in the shared folder.
     """
-    shards = shards or 2 * n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    layout = written(rows.mapInArrow(tidy_batches(_layout), "block string, blob binary"), "layout")
-    frequent = _frequent(layout)
-    asked = layout.mapInArrow(tidy_batches(_requests(shards, frequent)), "shard int, block string, blob binary")
-    answers = written(asked.groupBy("shard").applyInArrow(tidy(_answer(mu, frequent)), "shard int, block string, answer binary"), "answers")
+    layout = written(rows.mapInArrow(tidy_batches(_layout(block_bytes)), "block string, blob binary"), "layout")
+    size, words, share = _sampled(layout)
+    shards = shards or max(2 * n_partitions(docs.sparkSession), -(-size // shard_bytes))
+    frequent, hot = np.sort(words), Hot(words, share, shards)
+    asked = layout.mapInArrow(tidy_batches(_requests(shards, frequent, hot)), "shard int, block string, blob binary")
+    answers = written(asked.groupBy("shard").applyInArrow(tidy(_answer(mu, frequent)), "shard int, block string, answer binary, types long, tokens long"), "answers")
+    one = answers.groupBy("shard").agg(F.max("types").alias("types"), F.max("tokens").alias("tokens"))
+    types, tokens = (int(x or 0) for x in one.agg(F.sum("types"), F.sum("tokens")).first())
     kind = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, train boolean"
-    return layout.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(mu), kind)
+    return layout.groupBy("block").cogroup(answers.select("shard", "block", "answer").groupBy("block")).applyInArrow(_score(mu, shards, hot, types, tokens), kind)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
