@@ -8,11 +8,15 @@ profile lacks.  The nearest language wins; equal distances are won by the first
 The score is 1 / (1 + exp(-20 * margin)), margin being the runner-up's distance less the
 winner's over the largest possible distance.
 
-N-grams are packed integers, counted by sorting a text's own.  Profiles are learnt from a bounded sample, ``per_language`` documents of
-each language (500), found by hash order; only the counts reach the driver.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
-text where no language could be learnt; repeated rows are judged one by one.
+N-grams are packed integers, counted by sorting a text's own.  Profiles are learnt from a bounded
+sample, the first ``per_language`` rows of each language (500) by the MD5 of their ids; only the
+profiles reach the driver.  Profiles ship with the task closure in blocks of ``block_languages``; every
+further block is one more pass that carries the two least distances found so far.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text
+where no language could be learnt; with one language every other text has score 1 / (1 + exp(-20));
+repeated rows are judged one by one; very long texts are counted whole; an empty table gives an empty
+result; columns besides the id, the text and the language are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import fold, table
+from .tables import discard, fold, table, written
 
 PROFILE, UNKNOWN = 400, "und"
+#: Nearest language, its distance, the next distance (None: there is no other).
+Found = tuple[str, int, int | None]
 
 
 @cache
@@ -67,7 +73,7 @@ def ranked(gram: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 class Profiles:
     def __init__(self, profiles: dict[str, np.ndarray], size: int):
-        self.languages, self.size = sorted(profiles), size
+        self.profiles, self.languages, self.size = profiles, sorted(profiles), size
         every = np.unique(np.concatenate([profiles[k] for k in self.languages])) if profiles else np.zeros(0, np.int64)
         self.grams = every
         # rank of each known n-gram in each language; the last column stands for all others
@@ -75,35 +81,51 @@ class Profiles:
         for i, k in enumerate(self.languages):
             self.rank[i, np.searchsorted(every, profiles[k])] = np.arange(len(profiles[k]))
 
+    def blocks(self, languages: int) -> list[Profiles]:
+        """The same in runs of so many languages, in order; one at least."""
+        cuts = range(0, max(len(self.languages), 1), languages)
+        return [Profiles({k: self.profiles[k] for k in self.languages[at : at + languages]}, self.size) for at in cuts]
+
     def distances(self, own: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.grams, own)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
         rank = self.rank[:, at]
         return np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own)))).sum(1)
 
-    def predict(self, own: np.ndarray) -> tuple[str, float]:
+    def nearest(self, own: np.ndarray, before: Found | None = None) -> Found | None:
+        """The nearest language, its distance and the next distance, of these and those found before."""
         if not len(own) or not self.languages:
-            return UNKNOWN, 0.0
+            return before
         d = self.distances(own)
         best = int(d.argmin())
         others = np.delete(d, best)
-        margin = (others.min() - d[best]) / (self.size * len(own)) if len(others) else 1.0
-        return self.languages[best], float(1 / (1 + np.exp(-20 * margin)))
-
-
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 500, profile: int = PROFILE, parts: int = 4, held: int = 2, max_languages: int = 500) -> Profiles:
-    """Profiles of every non-null language; more than max_languages raise an error."""
-    known = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, parts) != held))
-    languages = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages + 1).collect()]
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    chosen = None
-    for k in languages:
-        few = known.where(F.col(lang_col) == k).select(id_col, F.lit(k).alias("__lang")).orderBy(F.xxhash64(id_col), id_col).limit(per_language)
-        chosen = few if chosen is None else chosen.unionByName(few)
-    if chosen is None:
-        return Profiles({}, profile)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("__lang", text_col)
+        found = self.languages[best], int(d[best]), int(others.min()) if len(others) else None
+        if before is None:
+            return found
+        first, last = (before, found) if before[1] <= found[1] else (found, before)
+        return first[0], first[1], last[1] if first[2] is None else min(first[2], last[1])
+
+    def verdict(self, own: np.ndarray, found: Found | None) -> tuple[str, float]:
+        if found is None:
+            return UNKNOWN, 0.0
+        margin = 1.0 if found[2] is None else (found[2] - found[1]) / (self.size * len(own))
+        return found[0], float(1 / (1 + np.exp(-20 * margin)))
+
+    def predict(self, own: np.ndarray) -> tuple[str, float]:
+        return self.verdict(own, self.nearest(own))
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 500, profile: int = PROFILE, parts: int = 4, held: int = 2) -> Profiles:
+    """Profiles of every non-null language.  Reads the ids and languages once, then the texts once."""
+    known = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, parts) != held)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    order = [F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.col("id")]
+    few = known.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
+    for keys in (["lang", "part"], ["lang"]):  # a language with a third of all rows is 16 groups first
+        few = few.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= per_language)
+    chosen = written(few.select("id", "lang").distinct(), "languages")
+    # At most per_language rows a language; broadcast only while that is a small table.
+    hint = F.broadcast if chosen.count() <= 1_000_000 else (lambda x: x)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(hint(chosen), ["id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,29 +135,75 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     counts = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found: dict[str, list] = {k: [] for k in languages}
+    found: dict[str, list] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= profile).orderBy("lang", "rank").collect():
-        found[r["lang"]].append(r)
-    return Profiles({k: np.array([r["gram"] for r in v], np.int64) for k, v in found.items() if v}, profile)
+        found.setdefault(r["lang"], []).append(r["gram"])
+    discard(chosen)
+    return Profiles({k: np.array(v, np.int64) for k, v in found.items()}, profile)
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", block_languages: int = 500) -> DataFrame:
     """id, lang_pred, score of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = docs.schema[id_col].dataType.simpleString()
+    state = f"`{id_col}` {kind}, text string, lang string, least long, next long"
+    out = docs.select(F.col(id_col), F.col(text_col).alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("least", "long"), ("next", "long"))))
+    *early, last = profiles.blocks(block_languages)
+
+    def found_in(block: Profiles, b: pa.RecordBatch) -> list[tuple[np.ndarray, Found | None]]:
+        before = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+        every = []
+        for text, state_ in zip(b.column(1), before):
+            own = ranked(*grams(text.as_py()), block.size)
+            every.append((own, block.nearest(own, None if state_[0] is None else state_)))
+        return every
+
+    def carry(block: Profiles):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [f or (None, None, None) for _, f in found_in(block, b)]
+                columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], names=b.schema.names)
+
+        return run
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [profiles.predict(ranked(*grams(t.as_py()), profiles.size)) for t in b.column(1)]
+            said = [last.verdict(*x) for x in found_in(last, b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    for block in early:
+        out = out.mapInArrow(carry(block), state)
+    return out.mapInArrow(finish, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 QUERIES = {"op6_language_id": op6_language_id}
-ORACLE_SQL: dict[str, str] = {}
+
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda acc, b: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(acc, b)), 4294967295), 4294967295)"""
+_CODE = """CASE length(g) WHEN 1 THEN CAST(unicode(g) AS BIGINT) WHEN 2 THEN (CAST(unicode(g) AS BIGINT) << 21) | unicode(substr(g, 2, 1))
+  ELSE (CAST(unicode(g) AS BIGINT) << 42) | (CAST(unicode(substr(g, 2, 1)) AS BIGINT) << 21) | unicode(substr(g, 3, 1)) END"""
+ORACLE_SQL = {
+    "op6_language_id": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, lower(coalesce(text, '')) AS t, {_CRC32} % 4 = 2 AS held_out FROM documents),
+p AS (SELECT rid, ' ' || unnest(regexp_extract_all(t, '\p{{L}}+')) || ' ' AS p FROM d),
+g AS (SELECT rid, substr(p, i, k) AS g FROM p, (VALUES (1), (2), (3)) AS o(k), unnest(range(1, length(p) - k + 2)) AS u(i)),
+c AS (SELECT rid, g, {_CODE} AS code, count(*) AS n FROM g WHERE g <> ' ' GROUP BY rid, g),
+own AS (SELECT rid, code, row_number() OVER (PARTITION BY rid ORDER BY n DESC, code) - 1 AS r FROM c QUALIFY r < {PROFILE}),
+few AS (SELECT rid, lang FROM d WHERE lang IS NOT NULL AND NOT held_out
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 500),
+tot AS (SELECT lang, code, sum(n) AS n FROM few JOIN c USING (rid) GROUP BY ALL),
+pro AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS r FROM tot QUALIFY r < {PROFILE}),
+dist AS (
+  SELECT rid, l.lang, sum(CASE WHEN pro.r IS NULL THEN {PROFILE} ELSE abs(pro.r - own.r) END) AS x, count(*) AS m
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM pro) l LEFT JOIN pro ON pro.lang = l.lang AND pro.code = own.code GROUP BY ALL),
+two AS (SELECT rid, lang, x, m, row_number() OVER (PARTITION BY rid ORDER BY x, lang) AS place, lead(x) OVER (PARTITION BY rid ORDER BY x, lang) AS nx FROM dist)
+SELECT doc_id, held_out, coalesce(two.lang, '{UNKNOWN}') AS lang_pred,
+       CASE WHEN x IS NULL THEN 0.0 ELSE round(1 / (1 + exp(-20 * CAST(coalesce((nx - x) / CAST({PROFILE} * m AS DOUBLE), 1) AS DOUBLE))), 6) END AS score
+FROM d LEFT JOIN two ON two.rid = d.rid AND place = 1"""
+}
