@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack, tidy, tidy_batches, unpack
-from .tables import n_partitions, table, unused
+from .tables import shards_for, table, unused
 from .wordhash import U64, mix, slices
 
 MIN_WORDS, MIN_UNIT_WORDS = 25, 4
-WORD_CHARS = 6
+WORD_CHARS, SHARD_BYTES = 6, 32 << 20
 _CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+|(?<=[。！？｡])[ \t]*(?![。！？｡」』”’）\r\n])")
 _FLUSH = 200_000
 
@@ -186,9 +186,14 @@ def _per_document(group: pa.Table) -> pa.Table:
     return pa.table({"__id": pa.array(ids), "__repeated": pa.array([no[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(ids))], pa.binary())})
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __repeated): of each document with any, the int32 numbers of its repeated units."""
-    shards = n_partitions(docs.sparkSession)
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(__id, __repeated): of each document with any, the int32 numbers of its repeated units.
+
+    Ranges of digests and homes of documents are as many as the shuffle partitions, or one for every
+    shard_bytes of text if that is more.  The documents must come from a table or a checkpoint, as a
+    task that is run again must find its rows in the same order.
+    """
+    shards = shards_for(docs, text_col, shard_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id IS NOT NULL")
     blocks = rows.mapInArrow(tidy_batches(_digest_blocks(text_col, shards)), "to_home boolean, key int, blob binary")
     sent = blocks.groupBy("to_home", "key").applyInArrow(tidy(_settle(shards)), "home int, blob binary")
