@@ -8,14 +8,19 @@ logistic fit on labelled texts that the dictionaries have not seen, with each cl
 by its true number.
 
 The sample is bounded: ``per_class`` labelled documents of each label (2,000), three quarters
-of them for the dictionaries.  Scoring is one narrow pass over whole texts.
+of them for the dictionaries, each with about ``text_pieces`` pieces (4) from all over it, so that no long
+text fills a dictionary.  Scoring is one narrow pass over whole texts.
 
 Defined results: a null or an empty text has difference 0 and share 1; repeated rows are scored
-one by one; with too few labelled texts to train a dictionary every score is 0.5.
+one by one; an id that the documents have with several texts counts with the largest of them; very
+long texts are compressed whole; an empty table gives an empty result; columns besides the id, the text
+and the label are not read, whatever their names; with labelled texts too few to train a dictionary
+every score is 0.5, and a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +67,7 @@ class Compressors:
 
 
 class QualityModel:
-    def __init__(self, sample: list[tuple[int, str, int]], totals: dict[int, int], dict_bytes: int = 64 << 10, piece: int = 2048, level: int = 3):
+    def __init__(self, sample: list[tuple[int, str, int]], totals: dict[int, int], dict_bytes: int = 64 << 10, piece: int = 2048, level: int = 3, text_pieces: int = 4):
         train: dict[int, list[bytes]] = {0: [], 1: []}
         rest, turn = [], {0: 0, 1: 0}
         for _, text, y in sample:
@@ -71,13 +76,13 @@ class QualityModel:
             if turn[y] % 4 == 0:
                 rest.append((text, y))
             else:
-                # A few pieces of each text, from all over it, so that no long text fills the dictionary.
                 every = list(range(0, max(len(raw), 1), piece))
-                train[y] += [raw[a : a + piece] for a in every[:: max(1, -(-len(every) // 4))]]
+                train[y] += [raw[a : a + piece] for a in every[:: max(1, -(-len(every) // text_pieces))]]
         self.compress = None
         try:
             bad, good = (zstandard.train_dictionary(dict_bytes, [p for p in train[y] if len(p) >= 16], k=64, d=8, level=level).as_bytes() for y in (0, 1))
-        except (zstandard.ZstdError, ValueError):
+        except (zstandard.ZstdError, ValueError) as short:
+            warnings.warn(f"no dictionary from {len(train[0])} bad and {len(train[1])} good pieces: {short}", stacklevel=2)
             return
         self.compress = Compressors(bad, good, piece, level)
         labels = np.array([y for _, y in rest])
@@ -90,8 +95,8 @@ class QualityModel:
         return self.calibrate(np.array([self.compress.features(t) for t in texts]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = 2000, dict_bytes: int = 64 << 10, parts: int = 4, held: int = 2) -> QualityModel:
-    return QualityModel(*labelled_sample(docs, labels, label_col, parts, held, per_class), dict_bytes)
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = 2000, dict_bytes: int = 64 << 10, parts: int = 4, held: int = 2, text_pieces: int = 4) -> QualityModel:
+    return QualityModel(*labelled_sample(docs, labels, label_col, parts, held, per_class), dict_bytes, text_pieces=text_pieces)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

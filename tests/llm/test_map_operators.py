@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, language_id, quality_classifier, quality_rules, toxicity, url_filters
@@ -377,6 +378,33 @@ def test_quality(spark):
     assert quality_classifier.score(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_quality_query_against_brute_force(spark):
+    """Sample, dictionaries, sizes, calibration and scores of every document, from the definitions."""
+    docs, labels, known = labelled(spark, 500, 6)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    clash = docs.withColumns({"score": F.lit("x"), "label": F.lit(3)})
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(clash, quality_classifier.fit(clash, labels, dict_bytes=4096)).collect()}
+    train, rest, turn = {0: [], 1: []}, [], {0: 0, 1: 0}
+    for i, q, _ in sorted(known):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            turn[q] += 1
+            (rest if turn[q] % 4 == 0 else train[q]).append((i, q))
+    size = []
+    for y in (0, 1):
+        raw = zstandard.train_dictionary(4096, [texts[i].encode() for i, _ in train[y]], k=64, d=8, level=3)
+        size.append(lambda t, d=raw: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d.as_bytes()), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.encode())))
+
+    def features(t):
+        bad, good = size[0](t), size[1](t)
+        share = min(1.0, good / len(t.encode()))
+        return (bad - good) / (bad + good), share, share**2
+
+    weight = [sum(q == y and zlib.crc32(str(i).encode()) % 4 != 2 for i, q, _ in known) / sum(q == y for _, q in rest) for _, y in rest]
+    fit = quality_classifier.Logistic(np.array([features(texts[i]) for i, _ in rest]), np.array([q for _, q in rest]), np.array(weight))
+    for i, t in texts.items():
+        assert len(t) < 2048 and got[i] == pytest.approx(float(fit([features(t)])[0]), abs=0.02), i
+
+
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", fold("id", 7)).collect()
     assert all(r[1] == zlib.crc32(str(r[0]).encode()) % 7 for r in got)
