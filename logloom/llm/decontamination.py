@@ -186,7 +186,7 @@ def _marks(docs: DataFrame) -> tuple[str, str]:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = judge(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 

@@ -493,7 +493,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents", "doc_id"))
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}

@@ -177,7 +177,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     out = identify(docs, fit(docs))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 

@@ -425,7 +425,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     held = fold("doc_id", 7) == 2
     out = score(docs, ~held)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

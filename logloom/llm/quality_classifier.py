@@ -111,7 +111,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -273,7 +273,7 @@ def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return judge(table(spark, sf_dir, "documents", "doc_id")).drop("rejected_by")
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}

@@ -254,7 +254,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``removed`` are the spans of MIN_WORDS words or more, ``removed_lines`` those of shorter lines, each
     as [start, end, words, size].
     """
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"))
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["words"])
     flat = lambda some: F.transform(some, lambda x: F.array(x["start"], x["end"], x["words"], x["size"]))
     return out.select(

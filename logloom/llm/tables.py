@@ -22,8 +22,17 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None) -> DataFrame:
+    """A Parquet table.  spread: an id by which it is dealt out over the cores if its files have fewer splits than these.
+
+    Only small files have so few splits, so nothing large is shuffled; sorted, a task that is run
+    again finds its rows in the same order.
+    """
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and out._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        out = out.repartition(cores, spread).sortWithinPartitions(spread)
+    return out
 
 
 def fold(column: str | Column, parts: int) -> Column:

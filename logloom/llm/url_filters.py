@@ -153,7 +153,7 @@ def judge_urls(urls: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "pa
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages", "page_id"))
 
 
 QUERIES = {"op10_url_filters": op10_url_filters}
