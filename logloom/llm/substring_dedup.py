@@ -1,7 +1,7 @@
-r"""Substring deduplication by hashing lines and their sentences.
+r"""Substring deduplication by hashing lines and their clauses.
 
-A text is cut at line ends, and a line after each sentence end (ideographic ones need no blank),
-into units.  Units are
+A text is cut at line ends, and a line after each sentence end or comma, semicolon or colon before a
+blank (ideographic sentence ends need no blank), into units.  Units are
 normalised (case folded, blanks collapsed) and digested with 128 bits.  Digests are grouped
 globally; of each group the earliest occurrence, by (document id, offset), stays.  The others
 are repeated units.  A line whose units are all repeated goes whatever its length (or from
@@ -40,7 +40,7 @@ from .wordhash import U64, mix, slices
 
 MIN_WORDS, MIN_UNIT_WORDS = 25, 4
 WORD_CHARS, SHARD_BYTES = 6, 32 << 20
-_CUT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+|(?<=[。！？｡])[ \t]*(?![。！？｡」』”’）\r\n])")
+_CUT = re.compile(r"(?<=[.!?,;:])[ \t]+|[\r\n]+|(?<=[。！？｡])[ \t]*(?![。！？｡」』”’）\r\n])")
 _FLUSH = 200_000
 
 
@@ -270,8 +270,8 @@ def oracle(min_line_words: int = 0) -> str:
     """DuckDB SQL of op2's rows; without the ideographic sentence ends, which need a look ahead."""
     return rf"""
 WITH m AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2))) AS x,
-         generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2)), 1) AS i
+  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?,;:])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2))) AS x,
+         generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?,;:])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '([\r\n]+)', chr(1) || '\1' || chr(2), 'g'), chr(2)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 q AS (SELECT doc_id, i, split_part(x, chr(1), 1) AS u, split_part(x, chr(1), 2) AS sep FROM m),
 p AS (

@@ -222,7 +222,7 @@ def brute_units(text):
         before, end = text[i - 1 : i], None
         if i == len(text):
             end = i
-        elif text[i] in " \t" and before and before in ".!?":
+        elif text[i] in " \t" and before and before in ".!?,;:":
             end = skip(i, " \t")
         elif text[i] in "\r\n":
             end = skip(i, "\r\n")
@@ -321,6 +321,14 @@ def test_substring_long_passage_goes_and_first_stays(spark):
     assert got == {1: passage, 2: "Alone here\nand after", 3: "Own text of three. More of three."}
 
 
+def test_substring_passage_pasted_between_words_goes_but_for_its_ends(spark):
+    passage = ", ".join(" ".join(f"w{k}x{i}" for i in range(9)) for k in range(6))
+    rows = [(1, "Host one begins " + passage + " and goes on.", "", ""), (2, "Another host here " + passage + " has more to say.", "", "")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, DOCS), spans=False).collect()}
+    parts = passage.split(", ")
+    assert got == {1: rows[0][1], 2: f"Another host here {parts[0]}, {parts[-1]} has more to say."}
+
+
 def test_substring_short_lines_go_and_shared_sentences_stay(spark):
     rows = [(1, "Subscribe now\nOnly here one. Yes.", "", ""), (2, "Mine\nsubscribe  NOW\nYes. But not here.", "", ""), (3, "Subscribe now", "", ""), (4, "Only here one. Yes.\nx", "", "")]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, DOCS), spans=False).collect()}
