@@ -251,14 +251,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts without what is repeated.
 
-    ``removed`` are the spans of MIN_WORDS words or more, ``removed_lines`` those of shorter lines, each
-    as [start, end, words, size].
+    ``removed`` are the spans of MIN_WORDS words or more and n_passages their number, ``removed_lines``
+    those of shorter lines, as start-end pairs of characters of the original text; null where there are none.
     """
     out = dedup(table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"))
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    flat = lambda some: F.transform(some, lambda x: F.array(x["start"], x["end"], x["words"], x["size"]))
+    long, short = F.filter("removed", lambda x: x["size"] >= MIN_WORDS), F.filter("removed", lambda x: x["size"] < MIN_WORDS)
+    said = lambda some: F.nullif(F.array_join(F.transform(some, lambda x: F.concat_ws("-", x["start"], x["end"])), ","), F.lit(""))
     return out.select(
-        "doc_id", "text", flat(F.filter("removed", lambda x: x["size"] >= MIN_WORDS)).alias("removed"), flat(F.filter("removed", lambda x: x["size"] < MIN_WORDS)).alias("removed_lines"),
+        "doc_id", "text", said(long).alias("removed"), said(short).alias("removed_lines"), F.size(long).cast("long").alias("n_passages"),
         F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"),
     )
 
@@ -296,10 +297,10 @@ kept AS (
   WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = p.doc_id AND p.a >= sp.a AND p.a < sp.z) GROUP BY doc_id),
 li AS (
   SELECT doc_id, count(*) AS n_removed, CAST(sum(n) AS BIGINT) AS removed_words,
-         list([CAST(a AS INT), CAST(z AS INT), CAST(n AS INT), CAST(size AS INT)] ORDER BY a) FILTER (size >= {MIN_WORDS}) AS removed,
-         list([CAST(a AS INT), CAST(z AS INT), CAST(n AS INT), CAST(size AS INT)] ORDER BY a) FILTER (size < {MIN_WORDS}) AS removed_lines
+         string_agg(a || '-' || z, ',' ORDER BY a) FILTER (size >= {MIN_WORDS}) AS removed, count(*) FILTER (size >= {MIN_WORDS}) AS n_passages,
+         string_agg(a || '-' || z, ',' ORDER BY a) FILTER (size < {MIN_WORDS}) AS removed_lines
   FROM sp GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(removed, []) AS removed, coalesce(removed_lines, []) AS removed_lines,
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, removed, removed_lines, coalesce(n_passages, 0) AS n_passages,
        coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN li USING (doc_id)"""
 
