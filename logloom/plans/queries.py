@@ -707,7 +707,7 @@ def enriched_json_output(spark, d):
 
 @query(f"""
 WITH {MESSAGES_SQL}, {_GROUPS}
-SELECT msgid, tier, count, sample_text, string_split(sysnames, ',') AS sysnames, (SELECT count(*) FROM msg) AS total, CAST((SELECT sum(count) FROM grp) AS BIGINT) AS interesting FROM grp""")
+SELECT msgid, tier, count, sample_text, sysnames, (SELECT count(*) FROM msg) AS total, CAST((SELECT sum(count) FROM grp) AS BIGINT) AS interesting FROM grp""")
 def summary_json_output(spark, d):
     """A summary through its JSON form and back."""
     m = messages(spark, d)
@@ -716,7 +716,7 @@ def summary_json_output(spark, d):
     doc = spark.createDataFrame([(render.summary_json(m.count(), some.count(), groups),)], "json string")
     kind = "total_messages long, interesting_messages long, groups array<struct<msgid:string,tier:string,count:long,sample_text:string,sysnames:array<string>>>"
     o = doc.select(F.from_json("json", kind).alias("o")).select("o.total_messages", "o.interesting_messages", F.explode("o.groups").alias("g"))
-    return o.select("g.*", F.col("total_messages").alias("total"), F.col("interesting_messages").alias("interesting"))
+    return o.select("g.*", F.col("total_messages").alias("total"), F.col("interesting_messages").alias("interesting")).withColumn("sysnames", F.array_join("sysnames", ","))
 
 
 @query(f"""
