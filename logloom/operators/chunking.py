@@ -13,16 +13,33 @@ WINDOW_MINUTES, MAX_MESSAGES = 5, 50
 CHUNK_TOKENS, OVERLAP_TOKENS = 256, 64
 
 
-def window_chunks(messages: DataFrame, minutes: int = WINDOW_MINUTES, max_messages: int = MAX_MESSAGES, keys: tuple[str, ...] = ("sysname", "julian_date")) -> DataFrame:
+def _runs(messages: DataFrame, keys: tuple[str, ...], part: int) -> DataFrame:
+    """messages with __run, which rises where __w changes from one message of a key to the next."""
+    changes = lambda order: F.coalesce(F.lag("__w").over(order) != F.col("__w"), F.lit(False)).cast("int")
+    if not part:
+        order = Window.partitionBy(*keys).orderBy("seq")
+        return messages.withColumn("__run", F.sum(changes(order)).over(order))
+    # Runs are counted inside parts; a row for each part carries the count and the last window to the next ones.
+    out = messages.withColumns({**{k: F.coalesce(k, F.lit("")) for k in keys}, "__p": F.floor(F.col("seq") / part)})
+    inside = Window.partitionBy(*keys, "__p").orderBy("seq")
+    out = out.withColumn("__local", F.sum(changes(inside)).over(inside))
+    ends = out.groupBy(*keys, "__p").agg(F.max("__local").alias("cuts"), F.min_by("__w", "seq").alias("first"), F.max_by("__w", "seq").alias("last"))
+    order = Window.partitionBy(*keys).orderBy("__p")
+    ends = ends.withColumn("at", F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(False)).cast("int"))
+    so_far = F.sum(F.col("cuts") + F.col("at")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cuts")
+    out = out.join(ends.select(*keys, "__p", so_far.alias("__before")), [*keys, "__p"])
+    return out.withColumn("__run", F.col("__before") + F.col("__local")).drop("__p", "__local", "__before")
+
+
+def window_chunks(messages: DataFrame, minutes: int = WINDOW_MINUTES, max_messages: int = MAX_MESSAGES, keys: tuple[str, ...] = ("sysname", "julian_date"), part: int = 0) -> DataFrame:
     """Messages in order cut where the window of the day changes or a chunk is full (0: never full).
 
     One window over ``keys``, through which a filter on them reaches the scan; with keys=('stream',)
-    the cut ignores systems and days, and the chunk takes those of its first message.
+    the cut ignores systems and days, and the chunk takes those of its first message.  Where one key
+    is too much for a task, ``part`` (such as 1 << 20) finds the cuts inside so many numbers of seq, for
+    one more pass over times and keys and one more shuffle; the chunks are the same.
     """
-    order = Window.partitionBy(*keys).orderBy("seq")
-    w = F.floor(tx.minute_of_day(F.col("ts")) / minutes)
-    out = messages.withColumn("__w", w)
-    out = out.withColumn("__run", F.sum((F.coalesce(F.lag("__w").over(order) != F.col("__w"), F.lit(False))).cast("int")).over(order))
+    out = _runs(messages.withColumn("__w", F.floor(tx.minute_of_day(F.col("ts")) / minutes)), keys, part)
     if max_messages:
         inside = Window.partitionBy(*keys, "__run").orderBy("seq")
         out = out.withColumn("__part", F.floor((F.row_number().over(inside) - 1) / max_messages))

@@ -64,17 +64,18 @@ def index(spark: SparkSession, store: ChunkStore, directory: str, suffixes: str
     return counts
 
 
-def ingest(messages: DataFrame, store: ChunkStore, minutes: int = chunking.WINDOW_MINUTES, max_messages: int = chunking.MAX_MESSAGES, skip: filters.SkipList = filters.DEFAULT, embedder: embed.Embedder | None = None, complete: bool = False, metrics: Metrics | None = None) -> None:
+def ingest(messages: DataFrame, store: ChunkStore, minutes: int = chunking.WINDOW_MINUTES, max_messages: int = chunking.MAX_MESSAGES, skip: filters.SkipList = filters.DEFAULT, embedder: embed.Embedder | None = None, complete: bool = False, metrics: Metrics | None = None, part: int = 0) -> None:
     """Append the window chunks of the messages beyond each system's mark.
 
     A system's last window may still grow, so it is left for the next run, with all of its messages;
-    with ``complete`` the log has ended and it is stored too.  metrics gets the chunks and messages stored.
+    with ``complete`` the log has ended and it is stored too.  metrics gets the chunks and messages stored;
+    ``part`` splits very long days (chunking.window_chunks).
     """
     began = time.perf_counter()
     before = store.totals() if metrics is not None else {}
     fresh = incremental.unseen(messages, incremental.high_water(store.read()))
     fresh = filters.drop_skipped(fresh if complete else chunking.closed(fresh, minutes), skip)
-    chunks = chunking.window_chunks(fresh, minutes, max_messages).drop("seq")
+    chunks = chunking.window_chunks(fresh, minutes, max_messages, part=part).drop("seq")
     store.append(with_vectors(chunks, embedder or embed.HashEmbedder(n_ctx=embed.CONSOLE_CONTEXT, prefix=embed.DOCUMENT_PREFIX)))
     if metrics is not None:
         for name, n in store.totals().items():

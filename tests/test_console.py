@@ -39,6 +39,20 @@ def test_syslog(spark):
     ]
 
 
+def test_window_chunks_in_parts(spark):
+    r = random.Random(4)
+    items, minute = [], 0
+    for i in range(300):
+        minute = max(0, min(1439, minute + r.choice([0, 0, 0, 1, 7, -6])))
+        items.append((i, f"S{r.randint(0, 1)}", f"202608{r.randint(7, 8)}", f"{minute // 60:02d}:{minute % 60:02d}:00.00", "J", f"IEF450I M{i}"))
+    m = msgs(spark, items).repartition(3)
+    key = lambda df: sorted(tuple(x) for x in df.select("filename", "seq", "msg_count", "ts_end", "full_text").collect())
+    for most in (0, 4):
+        want = key(chunking.window_chunks(m, 5, most))
+        for part in (1, 7, 64, 1000):
+            assert key(chunking.window_chunks(m, 5, most, part=part)) == want
+
+
 def test_large_files_in_splits_and_parts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(syslog, "PART", 700)
     head = "N 4000000 SYS1 2026087 17:31:05.50 JOB00002 00000090  CSV003E MESSAGE {}"
