@@ -257,18 +257,20 @@ def _requests(shards: int, frequent: np.ndarray, hot: Hot):
 class _Request:
     """A block's request to a shard; its words become places in the shard's list of words."""
 
-    def __init__(self, blob: bytes, frequent: np.ndarray):
+    def __init__(self, blob: bytes):
         small = lambda x: x.view(np.int64).astype(np.int32)
         head, own, c1, fan2, second, c2, fan3, third, c3, named, others = unpack(blob)
         before, n = (int(x) for x in head)
         self.mine = slice(before, before + n)  # the words that are the shard's own, not guests
-        self.own, self.children = own, np.concatenate([frequent[named.view(np.int64)], others])
+        self.own, self.named, self.others = own, small(named), others
         self.c1, self.fan2, self.second, self.c2, self.fan3, self.third, self.c3 = map(small, (c1, fan2, second, c2, fan3, third, c3))
 
-    def place(self, words: np.ndarray) -> None:
-        self.first, child = (np.searchsorted(words, x).astype(np.int32) for x in (self.own, self.children))
+    def place(self, words: np.ndarray, at_frequent: np.ndarray) -> None:
+        """at_frequent: places of the frequent words that any request names."""
+        self.first = np.searchsorted(words, self.own).astype(np.int32)
+        child = np.concatenate([at_frequent[self.named], np.searchsorted(words, self.others).astype(np.int32)])
         self.second, self.third = child[self.second], child[self.third]
-        self.own = self.children = None
+        self.own = self.named = self.others = None
 
     def key2(self) -> np.ndarray:
         return np.repeat(self.first, self.fan2).astype(np.int64) << 32 | self.second
@@ -333,11 +335,16 @@ def _answer(mu: float, frequent: np.ndarray):
     """All blocks' requests to a shard: build its trie, look every request up in it."""
 
     def run(group: pa.Table) -> pa.Table:
-        requests = [_Request(b.as_py(), frequent) for b in group.column("blob")]
-        words = np.unique(np.concatenate([x for r in requests for x in (r.own, r.children)]))
+        requests = [_Request(b.as_py()) for b in group.column("blob")]
+        # Named children are gathered as marks, not as hashes of every block.
+        named = np.zeros(len(frequent), bool)
+        for r in requests:
+            named[r.named] = True
+        words = np.unique(np.concatenate([frequent[named], *(x for r in requests for x in (r.own, r.others))]))
+        at_frequent = np.searchsorted(words, frequent).astype(np.int32)
         c1, mine = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         for r in requests:
-            r.place(words)
+            r.place(words, at_frequent)
             c1[r.first] += r.c1
             mine[r.first[r.mine]] = True
         key2, c2 = _sum_by(np.concatenate([r.key2() for r in requests]), np.concatenate([r.c2 for r in requests]))
