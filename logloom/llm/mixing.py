@@ -9,7 +9,8 @@ until a source runs out each prefix holds its target share to within less than o
 slots of a source that has run out stay empty and no row is dropped.
 
 One frame is simulated, in an ``aggregate`` expression over one row; it repeats for ever, so
-the slot of any block follows from its number.  The work over documents is one window over
+the slot of any block follows from its number.  Sources of one quota share their windows, so a
+slot compares one block for each quota that occurs.  The work over documents is one window over
 (source, bucket), where a bucket is a hash range of about ``bucket_docs`` documents (by default
 a fourth of a shuffle partition's share): a source with a third of all rows is as many buckets
 as it needs.
@@ -18,12 +19,13 @@ Defined results: a null source is a source of its own; a source without a weight
 least quota, one slot; repeated rows get places of their own; an empty table gives an empty
 result.
 
-A frame has room for at most ``slots`` sources, and its quotas are rounded: a source drifts from its
-weight by a fixed number of blocks a frame.  Where there are more than ``SLOTS`` sources, or on
-request (``exact``), there is no frame: block i of a source of weight w has the virtual time
-(i + phase) / w, and a block's slot is its rank by that time.  Phases are multiples of the golden
-ratio, so the sources' blocks interleave; no deviation adds up with the table.  There a source
-without a weight gets the least weight of any.  One row a source is broadcast.
+A frame has ``SLOTS`` slots, and ``PER_SOURCE`` more for each source beyond as many, so there is room
+for any number of sources and one source more never changes the method; a frame of given ``slots`` has
+room for that many sources.  Quotas are rounded: a source drifts from its weight by a fixed number of
+blocks a frame.  On request only (``exact``) there is no frame: block i of a source of weight w has the
+virtual time (i + phase) / w, and a block's slot is its rank by that time.  Phases are multiples of the
+golden ratio, so the sources' blocks interleave; no deviation adds up with the table.  There a source
+without a weight gets the least weight of any.  One row a source, and one a slot, is broadcast.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from .tables import n_partitions, table
 
 SLOTS = 1000
+PER_SOURCE = 10
 BLOCK_DOCS = 32
 _GOLDEN, _RANGE = 0.6180339887498949, 4096
 _KEY, _HASH, _BUCKET = "__mix_source", "__mix_hash", "__mix_bucket"
@@ -46,45 +49,61 @@ def _weighted(counts: DataFrame, weights: DataFrame | None, alpha: float) -> Dat
         return counts.join(weights.select(F.col(weights.columns[0]).alias(_KEY), F.col(weights.columns[1]).cast("double").alias("weight")), _KEY, "left").fillna({"weight": 0.0})
 
 
-def quotas(counts: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, alpha: float = 0.5) -> DataFrame:
+def quotas(counts: DataFrame, weights: DataFrame | None = None, slots: int | None = None, alpha: float = 0.5) -> DataFrame:
     """Per source key: n_docs and quota.  Without weights (key, weight), a source's weight is n_docs ** alpha."""
     w = _weighted(counts, weights, alpha)
     every = Window.partitionBy(F.lit(0))
-    w = w.withColumn("n_sources", F.count("*").over(every)).where(
-        F.assert_true(F.col("n_sources") <= slots, F.lit(f"more than {slots} sources")).isNull()
-    )
+    w = w.withColumn("n_sources", F.count("*").over(every))
+    if slots is None:
+        w = w.withColumn("slots", SLOTS + PER_SOURCE * F.greatest(F.col("n_sources") - SLOTS, F.lit(0)))
+    else:
+        w = w.withColumn("slots", F.lit(slots)).where(F.assert_true(F.col("n_sources") <= slots, F.lit(f"more than {slots} sources")).isNull())
     # One slot for each source, the rest by largest remainder.
-    share = F.round(F.col("weight") / F.sum("weight").over(every) * (slots - F.col("n_sources")), 6)
+    share = F.round(F.col("weight") / F.sum("weight").over(every) * (F.col("slots") - F.col("n_sources")), 6)
     w = w.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("quota", F.floor("share").cast("int") + 1)
-    left = F.lit(slots) - F.sum("quota").over(every)
+    left = F.col("slots") - F.sum("quota").over(every)
     rank = F.row_number().over(every.orderBy((F.floor("share") - F.col("share")), F.col(_KEY)))
     w = w.withColumn("left", left).withColumn("rank", rank)
     return w.select(_KEY, "n_docs", (F.col("quota") + (F.col("rank") <= F.col("left")).cast("int")).alias("quota"))
 
 
-def frame(quota: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The earliest-deadline-first schedule of one frame: source key, quota, k (its k-th block), slot."""
-    one = quota.agg(F.array_sort(F.collect_list(F.struct(F.col(_KEY).alias("key"), F.col("quota").alias("n")))).alias("src")).where(F.size("src") > 0)
+def frame(quota: DataFrame, slots: int | None = None) -> DataFrame:
+    """The earliest-deadline-first schedule of one frame, by default of as many slots as the quotas add up to.
+
+    Source key, k (its k-th block), slot, slots.
+    """
+    same = quota.groupBy(F.col("quota").alias("n")).agg(F.array_sort(F.collect_list(_KEY)).alias("keys"))
+    total = F.sum(F.col("n").cast("long") * F.size("keys")) if slots is None else F.lit(slots).cast("long")
+    one = same.agg(F.array_sort(F.collect_list(F.struct("n", "keys", F.size("keys").alias("m")))).alias("src"), total.alias("slots")).where(F.size("src") > 0)
+    length = F.col("slots")
+
+    # The sources of a quota take turns, so the number of their blocks done tells the next one.
+    def block(done, s):
+        k = F.floor(done / s["m"])
+        due, release = F.ceil((k + 1) * length / s["n"]), F.floor(k * length / s["n"])
+        key = s["keys"][(done % s["m"]).cast("int")]
+        return F.when(k < s["n"], F.struct(due.alias("due"), key.alias("key"), s["n"].alias("n"), release.alias("release"), done.alias("done")))
 
     def step(state, t):
-        due = F.transform(
-            F.arrays_zip(state["done"], F.sequence(F.lit(0), F.size(state["done"]) - 1).alias("i"), F.col("src.n").alias("n")),
-            lambda x: F.when(
-                (x["done"] < x["n"]) & (F.floor(x["done"] * slots / x["n"]) <= t),
-                F.struct(F.ceil((x["done"] + 1) * slots / x["n"]).cast("int").alias("due"), x["i"].alias("i")),
-            ),
-        )
-        best = F.array_min(F.filter(due, lambda x: x.isNotNull()))["i"]
-        return F.struct(
-            F.transform(state["done"], lambda a, i: a + (i == best).cast("int")).alias("done"),
-            F.concat(state["picked"], F.array(best)).alias("picked"),
-        )
-
-    start = F.struct(F.transform("src", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("picked"))
-    picked = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), start, step, lambda s: s["picked"])
-    flat = one.select("src", F.posexplode(picked).alias("slot", "i"))
-    flat = flat.select(F.col("slot"), F.element_at("src", F.col("i") + 1).alias("s"))
-    flat = flat.select("slot", F.col("s.key").alias(_KEY), F.col("s.n").alias("quota"))
+        best = F.array_min(F.transform(state["next"], lambda x: F.when(x["release"] <= t, x)))
+
+        def take(b):
+            after = F.zip_with(state["next"], F.col("src"), lambda x, s: F.when(x["n"] == b["n"], block(x["done"] + 1, s)).otherwise(x))
+            return F.struct(after.alias("next"), F.concat(state["picked"], F.array(b["key"])).alias("picked"))
+
+        return F.transform(F.array(best), take)[0]  # a lambda's argument is computed once
+
+    # In stretches, so that a slot's pick copies the picks of its stretch only.
+    def stretch(state, i):
+        none = F.struct(state["next"].alias("next"), F.array().cast("array<string>").alias("picked"))
+        out = F.aggregate(F.sequence(i * SLOTS, F.least((i + 1) * SLOTS, length) - 1), none, step)
+        return F.transform(F.array(out), lambda o: F.struct(o["next"].alias("next"), F.concat(state["picked"], F.array(o["picked"])).alias("picked")))[0]
+
+    first = F.transform("src", lambda s: block(F.lit(0).cast("long"), s))
+    start = F.struct(first.alias("next"), F.array().cast("array<array<string>>").alias("picked"))
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / SLOTS))
+    picked = F.aggregate(stretches, start, stretch, lambda s: F.flatten(s["picked"]))
+    flat = one.select("slots", F.posexplode(picked).alias("slot", _KEY))
     return flat.withColumn("k", F.row_number().over(Window.partitionBy(_KEY).orderBy("slot")) - 1)
 
 
@@ -116,22 +135,20 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_docs: int = BLOCK_DOCS,
-    slots: int = SLOTS,
+    slots: int | None = None,
     alpha: float = 0.5,
     bucket_docs: int | None = None,
-    exact: bool | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """docs with mix_block (the source's block), mix_slot and mix_offset; order by the last two to read the mixture.
 
-    exact: slots by virtual time instead of a frame; by default where there are more than SLOTS sources
-    and ``slots`` is not set otherwise.
+    slots: of a frame; by default SLOTS, and PER_SOURCE more for each source beyond as many.
+    exact: slots by virtual time instead of a frame.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.withColumns({_KEY: key, _HASH: digest})
     counts = docs.groupBy(key.alias(_KEY)).agg(F.count("*").alias("n_docs"))
-    if exact is None:
-        exact = slots == SLOTS and counts.limit(SLOTS + 1).count() > SLOTS
     if weights is not None:
         weights = weights.select(F.concat(F.lit("s"), F.col(weights.columns[0]).cast("string")), weights.columns[1])
     quota = times(counts, weights, alpha) if exact else quotas(counts, weights, slots, alpha)
@@ -163,9 +180,9 @@ def mix(
         at = F.col("mix_block") - F.floor(F.col("__mix_before") / block_docs)
         return out.withColumn("mix_slot", F.col("__mix_slots")[at.cast("int")]["slot"].cast("long")).select(*kept, "mix_block", "mix_slot", "mix_offset")
     out = out.withColumn("__mix_k", (F.col("mix_block") % F.col("quota")).cast("int")).withColumnRenamed("quota", "__mix_quota")
-    plan = F.broadcast(frame(quota, slots).select(F.col(_KEY), F.col("k").alias("__mix_k"), F.col("slot").alias("__mix_slot")))
+    plan = F.broadcast(frame(quota).select(F.col(_KEY), F.col("k").alias("__mix_k"), F.col("slot").alias("__mix_slot"), F.col("slots").alias("__mix_slots")))
     out = out.join(plan, [_KEY, "__mix_k"])
-    slot = F.floor(F.col("mix_block") / F.col("__mix_quota")) * slots + F.col("__mix_slot")
+    slot = F.floor(F.col("mix_block") / F.col("__mix_quota")) * F.col("__mix_slots") + F.col("__mix_slot")
     return out.withColumn("mix_slot", slot.cast("long")).select(*kept, "mix_block", "mix_slot", "mix_offset")
 
 

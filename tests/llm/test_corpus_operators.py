@@ -477,6 +477,26 @@ def test_mixture_of_more_sources_than_slots(spark):
     assert max(first.values()) == 2
 
 
+@pytest.mark.parametrize("sources", [1000, 1001, 1050])
+def test_mixture_is_one_schedule_on_both_sides_of_a_thousand_sources(spark, sources):
+    n_docs = {f"{i:04}": 400 if i == 7 else 40 if i % 100 == 3 else 3 + i % 4 for i in range(sources)}
+    rows = [(i * 1000 + k, s) for i, (s, n) in enumerate(n_docs.items()) for k in range(n)]
+    slots = 1000 + 10 * (sources - 1000)
+    weight = {s: math.sqrt(n) for s, n in n_docs.items()}
+    share = {s: round(w / sum(weight.values()) * (slots - sources), 6) for s, w in weight.items()}
+    quota = {s: math.floor(x) + 1 for s, x in share.items()}
+    for s in sorted(share, key=lambda s: (math.floor(share[s]) - share[s], s))[: slots - sum(quota.values())]:
+        quota[s] += 1
+    place = {s: [] for s in quota}
+    for t, s in enumerate(brute_frame(quota, slots)):
+        place[s].append(t)
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=2).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in rows)
+    for r in out:
+        turn, k = divmod(r["mix_block"], quota[r["source"]])
+        assert r["mix_slot"] == turn * slots + place[r["source"]][k]
+
+
 def test_exact_mixture_follows_the_weights(spark):
     share = {"s0": 1 / 3, **{f"s{i}": 2 / 57 for i in range(1, 20)}}
     rows = [(i * 10_000 + k, s) for i, (s, w) in enumerate(share.items()) for k in range(round(9000 * w))]
