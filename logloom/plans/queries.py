@@ -333,16 +333,21 @@ def extract_msgid(spark, d):
     return messages(spark, d).select("seq", tx.extract_msgid(F.col("text")).alias("msgid"))
 
 
+_PACKED = 1 << 12  # numbers of seq whose messages of a system are one JSON document
+
+
 @query(f"WITH {MESSAGES_SQL} SELECT sysname AS stream, seq, text AS line FROM msg")
 def json_content_extract(spark, d):
-    """Collected logs wrapped in JSON by system, taken apart again."""
-    m = messages(spark, d)
-    packed = m.groupBy("sysname").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
+    """Collected logs wrapped in JSON by system and part of the log, taken apart again."""
+    m = messages(spark, d).withColumn("part", F.floor(F.coalesce("seq", F.lit(0)) / _PACKED))
+    packed = m.groupBy("sysname", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
     content = F.array_join(F.transform("all", lambda x: x["text"]), "\n")
     doc = F.to_json(F.struct(F.create_map("sysname", F.struct(content.alias("content"), F.length(content).cast("long").alias("content_length"))).alias("data"), F.lit(1).alias("system_logs")))
-    lines = syslog.json_lines(packed.select(doc.alias("value")))
-    order = m.select(F.col("sysname").alias("stream"), "seq", (F.row_number().over(Window.partitionBy("sysname").orderBy("seq")) - 1).alias("line_no"))
-    return lines.join(order, ["stream", "line_no"]).select("stream", "seq", "line")
+    part = F.col("part").cast("string")
+    lines = syslog.json_lines(packed.select(part.alias("part"), doc.alias("value")), within=F.col("part")).withColumnRenamed("stream", "log")
+    place = F.row_number().over(Window.partitionBy("sysname", "part").orderBy("seq")) - 1
+    order = m.select(F.concat_ws("#", part, "sysname").alias("log"), F.col("sysname").alias("stream"), "seq", place.alias("line_no"))
+    return lines.join(order, ["log", "line_no"]).select("stream", "seq", "line")
 
 
 @query(f"""

@@ -15,6 +15,7 @@ from ..functions import text as tx
 LINE = r"(?s)\A[NMXC][ 0-9a-fA-Z]?+[0-9a-fA-Z]*+ *+([^ ]*+) *+([0-9]*+) *+(..:..:.{5})?+ *+([^ ]*+) *+[0-9a-fA-F]*+ *+(.*)\z"
 CONTAINER = "data map<string,struct<content:string,content_length:long>>, system_logs int"
 SPLIT_LINE = ("_metadata.file_path AS stream", "_metadata.file_block_start AS split", "value AS line")
+MAX_STRING = (1 << 31) - 1
 MIN_LINE = 10
 PART = 1 << 20
 
@@ -43,9 +44,12 @@ def numbered(lines: DataFrame) -> DataFrame:
 
 
 def json_lines(documents: DataFrame, content: str = "value", within: Column | None = None) -> DataFrame:
-    """Lines of collected logs wrapped in JSON: each system's content is a stream (of its document, if ``within`` names it)."""
+    """Lines of collected logs wrapped in JSON: each system's content is a stream (of its document, if ``within`` names it).
+
+    A content may be as long as a string can be; the parser's own limit would lose whole documents.
+    """
     within = F.lit("") if within is None else F.concat(within, F.lit("#"))
-    data = documents.select(within.alias("within"), F.explode(F.from_json(content, CONTAINER)["data"]).alias("system", "log"))
+    data = documents.select(within.alias("within"), F.explode(F.from_json(content, CONTAINER, {"maxStringLen": str(MAX_STRING)})["data"]).alias("system", "log"))
     return lines_of(data, "log.content", F.concat("within", "system"))
 
 

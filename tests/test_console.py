@@ -79,6 +79,30 @@ def test_json_wrapper(spark):
     assert sorted(map(tuple, syslog.json_lines(doc).collect())) == [("SYS1", 0, "a"), ("SYS1", 1, 'b "c"'), ("SYS2", 0, "d")]
 
 
+def test_json_wrapper_of_a_very_long_log(spark):
+    content = F.repeat(F.lit("abcdefghijklmnopqrs\\n"), 1_100_000)
+    doc = spark.range(1).select(F.concat(F.lit('{"data":{"SYS1":{"content":"'), content, F.lit('end","content_length":22000003}},"system_logs":1}')).alias("value"))
+    assert tuple(syslog.json_lines(doc).agg(F.count("*"), F.max("line_no"), F.max("line")).first()) == (1_100_001, 1_100_000, "end")
+
+
+def test_json_documents_of_a_log_are_bounded(spark, tmp_path, monkeypatch):
+    from logloom.plans import queries
+
+    events = spark.range(100).selectExpr("id * 7 AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 5 AS user_id", "'error' AS event_type", "0D AS value", "concat('{', id, '}') AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    sizes, whole = [], syslog.json_lines
+
+    def spy(documents, *args, **more):
+        sizes.extend(r[0] for r in documents.select(F.length("value")).collect())
+        return whole(documents, *args, **more)
+
+    monkeypatch.setattr(queries.syslog, "json_lines", spy)
+    monkeypatch.setattr(queries, "_PACKED", 70, raising=False)
+    got = sorted(tuple(r) for r in queries.json_content_extract(spark, str(tmp_path)).collect())
+    assert got == sorted((f"SYS{i % 5 % 3}", i * 7, f"IEF450E {{{i}}}") for i in range(100))
+    assert len(sizes) == 30 and max(sizes) < 200
+
+
 IDS = [
     ("IEF450I", "IEF450I", "IEF450I", True),
     ("JOB1 IEF450I X", "IEF450I", "JOB1", None),
