@@ -1,6 +1,8 @@
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,55 @@ def test_knn_batch_equals_brute_force(spark):
             assert [got[i, k] for k in (1, 2, 3)] == np.argsort(d, kind="stable")[:3].tolist()
 
 
+def knn_task(spark, monkeypatch, queries, k, metric="l2"):
+    """What a task of knn_batch does with its batches, as a function in this process."""
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "qid long, qvec array<float>")
+    v = spark.createDataFrame([], "id long, embedding array<float>")
+    seen, kind = [], type(v)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: seen.append(f) or whole(self, f, schema))
+    knn.knn_batch(v, q, k, metric=metric)
+    (run,) = seen
+    return lambda batches: {(x["qid"], x["id"]): x["distance"] for out in run(iter(batches)) for x in out.to_pylist()}
+
+
+def vector_batch(v, first=0):
+    return pa.RecordBatch.from_pydict({"id": list(range(first, first + len(v))), "embedding": pa.array(v.tolist(), pa.list_(pa.float32()))})
+
+
+def test_knn_batch_memory_does_not_follow_the_number_of_queries(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    run = knn_task(spark, monkeypatch, r.standard_normal((4000, 4), np.float32), 3)
+    batch = vector_batch(r.standard_normal((10_000, 4), np.float32))
+    tracemalloc.start()
+    try:
+        found = run([batch])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 12_000 and peak < 100 << 20
+
+
+def test_knn_batch_in_tiles(spark, monkeypatch):
+    """Tiles smaller than k, ties across tiles, copies, and values that are no numbers, which come last."""
+    r = np.random.default_rng(6)
+    v = r.integers(0, 3, (300, 3)).astype(np.float32)
+    v[7], v[150] = np.nan, np.inf
+    for metric in ("l2", "cosine"):
+        run = knn_task(spark, monkeypatch, v[10:30], 5, metric)
+        monkeypatch.setattr(knn, "TILE", 12, raising=False)
+        monkeypatch.setattr(knn, "TILE_ROWS", 4, raising=False)
+        found = run([vector_batch(v[:101]), vector_batch(v[101:], 101)])
+        for i, q in enumerate(v[10:30].astype(float)):
+            d = np.sqrt(((v - q) ** 2).sum(1)) if metric == "l2" else None
+            if d is None:
+                n = np.linalg.norm(v.astype(float), axis=1) * np.linalg.norm(q)
+                d = np.where(n > 0, 1 - np.divide(v @ q, n, out=np.zeros(300), where=n > 0), 1)
+            want = sorted((round(x, 9), j) for j, x in enumerate(d) if np.isfinite(v[j]).all())[:5]
+            got = sorted((round(x, 9), j) for (a, j), x in found.items() if a == i)
+            assert got == want if metric == "l2" else [x for x, _ in got] == [x for x, _ in want]
+
+
 def test_token_windows(spark):
     df = spark.createDataFrame([(100,), (50,), (1,)], "n int")
     got = [[(w["start"], w["end"]) for w in r[0]] for r in df.select(chunking.token_windows(F.col("n"), 50, 40)).collect()]
