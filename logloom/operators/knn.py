@@ -23,13 +23,19 @@ from ..functions import vectors as vx
 TILE, TILE_ROWS = 1 << 20, 2048
 
 
-def knn(vectors: DataFrame, query: Sequence[float], k: int = 5, id_col: str = "id", vector_col: str = "embedding", where: Column | None = None, metric: str = "l2") -> DataFrame:
-    """The k nearest rows with their distance, all columns but the vector."""
+def knn(vectors: DataFrame, query: Sequence[float], k: int = 5, id_col: str = "id", vector_col: str = "embedding", where: Column | None = None, metric: str = "l2", digits: int | None = None) -> DataFrame:
+    """The k nearest rows with their distance, all columns but the vector.
+
+    digits: decimals that the distance is rounded to before rows are ranked by it.
+    """
     if where is not None:
         vectors = vectors.where(where)
     q = F.array(*[F.lit(float(np.float32(x))) for x in query])
-    scored = vectors.where(F.size(vector_col) == len(query)).withColumn("distance", vx.distance(F.col(vector_col), q, metric))
-    return scored.drop(vector_col).orderBy("distance", id_col).limit(k)
+    # Vectors of another length come last and go after the limit: Spark would push a filter on vectors
+    # that are still to be computed below their computation, and compute all of them twice.
+    distance = F.when(F.size(vector_col) == len(query), vx.distance(F.col(vector_col), q, metric))
+    scored = vectors.withColumn("distance", distance if digits is None else F.round(distance, digits))
+    return scored.drop(vector_col).orderBy(F.col("distance").asc_nulls_last(), id_col).limit(k).where("distance IS NOT NULL")
 
 
 def vector_of(vectors: DataFrame, key: int, id_col: str = "id", vector_col: str = "embedding") -> list[float]:

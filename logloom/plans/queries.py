@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -488,10 +489,9 @@ x AS (SELECT id, round(list_distance(CAST(u AS DOUBLE[]), (SELECT CAST(u AS DOUB
 SELECT id, distance FROM x ORDER BY distance, id LIMIT 5""")
 def hash_embed_search(spark, d):
     """Document chunks embedded by the hashing embedder and searched by text."""
-    e = embed.HashEmbedder(64)
+    e = embed.HashEmbedder(64, n_ctx=sys.maxsize)
     chunks = _doc_chunks(spark, d).select((F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("id"), embed.embed(F.col("full_text"), e).alias("embedding"))
-    near = knn.knn(chunks, [float(x) for x in e.encode([_ASKED])[0]], 50).withColumn("distance", F.round("distance", 4))
-    return near.orderBy("distance", "id").limit(5)
+    return knn.knn(chunks, [float(x) for x in e.encode([_ASKED])[0]], 5, digits=4)
 
 
 @query(f"""

@@ -1,4 +1,5 @@
 import json
+import re
 import tracemalloc
 
 import numpy as np
@@ -136,6 +137,43 @@ def test_knn_batch_in_tiles(spark, monkeypatch):
             assert got == want if metric == "l2" else [x for x, _ in got] == [x for x, _ in want]
 
 
+def test_hash_embed_search_ranks_by_the_rounded_distance(spark, tmp_path):
+    """More than fifty chunks before one whose rounded distance is the same and whose id is smaller; a chunk of many words is read whole."""
+    import duckdb
+
+    from logloom.plans import queries
+
+    words = lambda n: "the message of the system " + ".".join(["filler"] * n)
+    rows = [(0, words(2001)), *((i, words(2000)) for i in range(1, 61)), (61, words(3000)), (62, ""), (63, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["hash_embed_search"]).fetchall()
+    assert [x for x, _ in want] == [1, 100_001, 200_001, 300_001, 400_001]
+    assert [(x["id"], x["distance"]) for x in queries.hash_embed_search(spark, str(tmp_path)).collect()] == want
+
+
+def test_single_search_computes_each_vector_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, t string").select("id", embed.embed(F.col("t"), embed.HashEmbedder(4)).alias("embedding"))
+    near = knn.knn(df, [1.0, 0.0, 0.0, 0.0], 2)
+    assert near._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    mixed = spark.createDataFrame([(1, [1.0]), (2, None), (3, [3.0, 0.0]), (4, [2.0, 0.0])], "id long, embedding array<float>")
+    assert [tuple(x) for x in knn.knn(mixed, [1.0, 0.0], 4).collect()] == [(4, 1.0), (3, 2.0)]
+
+
+def test_hash_embedder_equals_word_by_word(monkeypatch):
+    monkeypatch.setattr(embed, "TEXTS", 3, raising=False)
+    texts = ["a b a", "", None, "Ä_1 x,y x", "storage " * 9, "z"]
+    got = embed.HashEmbedder(5, n_ctx=4).encode(texts)
+    for row, text in zip(got, texts):
+        want = np.zeros(5, np.float32)
+        for w in re.findall(r"\w+", (text or "").lower())[:4]:
+            h = embed._word_hash(w)
+            want[(h >> 1) % 5] += 1 if h & 1 else -1
+        want = np.sign(want) * np.sqrt(np.abs(want))
+        assert np.array_equal(row, want / (np.linalg.norm(want) or np.float32(1)))
+
+
 def test_token_windows(spark):
     df = spark.createDataFrame([(100,), (50,), (1,)], "n int")
     got = [[(w["start"], w["end"]) for w in r[0]] for r in df.select(chunking.token_windows(F.col("n"), 50, 40)).collect()]
